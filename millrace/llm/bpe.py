@@ -213,6 +213,18 @@ class Bpe:
         return b"".join([table[i] if 0 <= i < len(table) else b"" for i in ids]).decode("utf-8", "replace")
 
 
+_loaded: dict[int, Bpe] = {}
+
+
+def loaded(spec: str) -> Bpe:
+    """One vocabulary is kept by each Python worker, with its cache, from task to task."""
+    key = hash(spec)
+    if key not in _loaded:
+        _loaded.clear()
+        _loaded[key] = Bpe(spec)
+    return _loaded[key]
+
+
 def vocabulary_path(name: str = "byte_bpe_50k.json") -> str:
     import public_tokenizers
 
@@ -227,7 +239,7 @@ def encode_decode(docs: DataFrame, path: str, id_col: str = "doc_id", text_col:
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
 
     def run(batches):
-        bpe = Bpe(sent.value)
+        bpe = loaded(sent.value)
         for batch in slices(batches):
             packed = bpe.encode_all([t or "" for t in batch.column("text").to_pylist()])
             counts = np.fromiter((len(p) // 4 for p in packed), np.int64, len(packed))
