@@ -8,11 +8,13 @@ from pyspark.sql import DataFrame, SparkSession
 
 from millrace.llm.bpe import op2_bpe
 from millrace.llm.decontaminate import op9_decontaminate
+from millrace.llm.near_duplicates import op8_near_duplicates
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op2_bpe": op2_bpe,
+        "op8_near_duplicates": op8_near_duplicates,
         "op9_decontaminate": op9_decontaminate,
     }
 
