@@ -77,13 +77,15 @@ class Words:
     hash: np.ndarray
     first: np.ndarray  # of each row, its first word; one more entry at the end
 
-    def runs(self, k: int) -> tuple[np.ndarray, np.ndarray]:
-        """Hashes of the runs of k consecutive words, and whether a run stays in one text; one for each start."""
+    def runs(self, k: int, salt: int = 0) -> tuple[np.ndarray, np.ndarray]:
+        """Hashes of the runs of k consecutive words, and whether a run stays in one text; one for each start.
+        Another salt gives independent hashes."""
         n = max(0, len(self.hash) - k + 1)
         if not n:
             return np.zeros(0, np.uint64), np.zeros(0, bool)
         up, down = _runs.get(len(self.hash))
-        sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(self.hash * up, dtype=np.uint64)])
+        own = mix(self.hash ^ np.uint64(salt)) if salt else self.hash
+        sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(own * up, dtype=np.uint64)])
         return mix((sums[k:] - sums[:n]) * down[:n] + np.uint64(k)), self.row[:n] == self.row[k - 1 :]
 
 

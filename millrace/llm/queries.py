@@ -9,11 +9,13 @@ from pyspark.sql import DataFrame, SparkSession
 from millrace.llm.bpe import op2_bpe
 from millrace.llm.decontaminate import op9_decontaminate
 from millrace.llm.near_duplicates import op8_near_duplicates
+from millrace.llm.substring_dedup import op3_substring_dedup
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op2_bpe": op2_bpe,
+        "op3_substring_dedup": op3_substring_dedup,
         "op8_near_duplicates": op8_near_duplicates,
         "op9_decontaminate": op9_decontaminate,
     }
