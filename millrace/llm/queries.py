@@ -8,7 +8,9 @@ from pyspark.sql import DataFrame, SparkSession
 
 from millrace.llm.bpe import op2_bpe
 from millrace.llm.decontaminate import op9_decontaminate
+from millrace.llm.language_id import op7_language_id
 from millrace.llm.near_duplicates import op8_near_duplicates
+from millrace.llm.quality import op10_quality
 from millrace.llm.substring_dedup import op3_substring_dedup
 
 
@@ -16,8 +18,10 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op2_bpe": op2_bpe,
         "op3_substring_dedup": op3_substring_dedup,
+        "op7_language_id": op7_language_id,
         "op8_near_duplicates": op8_near_duplicates,
         "op9_decontaminate": op9_decontaminate,
+        "op10_quality": op10_quality,
     }
 
 
