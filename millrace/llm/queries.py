@@ -12,12 +12,14 @@ from millrace.llm.language_id import op7_language_id
 from millrace.llm.near_duplicates import op8_near_duplicates
 from millrace.llm.quality import op10_quality
 from millrace.llm.substring_dedup import op3_substring_dedup
+from millrace.llm.warc import op6_warc
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op2_bpe": op2_bpe,
         "op3_substring_dedup": op3_substring_dedup,
+        "op6_warc": op6_warc,
         "op7_language_id": op7_language_id,
         "op8_near_duplicates": op8_near_duplicates,
         "op9_decontaminate": op9_decontaminate,
