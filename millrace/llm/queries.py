@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from millrace.llm.bpe import op2_bpe
 from millrace.llm.decontaminate import op9_decontaminate
+from millrace.llm.fingerprint import op1_fingerprints
 from millrace.llm.language_id import op7_language_id
 from millrace.llm.near_duplicates import op8_near_duplicates
 from millrace.llm.quality import op10_quality
@@ -17,6 +18,7 @@ from millrace.llm.warc import op6_warc
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op1_fingerprints": op1_fingerprints,
         "op2_bpe": op2_bpe,
         "op3_substring_dedup": op3_substring_dedup,
         "op6_warc": op6_warc,
