@@ -7,9 +7,11 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from millrace.llm.bpe import op2_bpe
+from millrace.llm.chat import op4_chat
 from millrace.llm.decontaminate import op9_decontaminate
 from millrace.llm.fingerprint import op1_fingerprints
 from millrace.llm.language_id import op7_language_id
+from millrace.llm.line_dedup import OP5_SQL, op5_line_dedup
 from millrace.llm.near_duplicates import op8_near_duplicates
 from millrace.llm.quality import op10_quality
 from millrace.llm.substring_dedup import op3_substring_dedup
@@ -21,6 +23,8 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op1_fingerprints": op1_fingerprints,
         "op2_bpe": op2_bpe,
         "op3_substring_dedup": op3_substring_dedup,
+        "op4_chat": op4_chat,
+        "op5_line_dedup": op5_line_dedup,
         "op6_warc": op6_warc,
         "op7_language_id": op7_language_id,
         "op8_near_duplicates": op8_near_duplicates,
@@ -30,4 +34,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op5_line_dedup": OP5_SQL}
