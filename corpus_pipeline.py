@@ -4,10 +4,13 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from millrace.llm import bpe, decontaminate
+from millrace.llm import bpe, decontaminate, language_id, line_dedup, near_duplicates
 from millrace.llm._shared import table, written
 
 STAGES = [
+    ("language ID", language_id.accepted),
+    ("line dedup", line_dedup.without_boilerplate),
+    ("MinHash near-dedup", near_duplicates.one_of_each),
     ("benchmark decontamination", decontaminate.clean),
     ("BPE encoding and decoding", bpe.tokens),
 ]
