@@ -11,8 +11,9 @@ from millrace.llm.chat import op4_chat
 from millrace.llm.decontaminate import op9_decontaminate
 from millrace.llm.fingerprint import op1_fingerprints
 from millrace.llm.language_id import op7_language_id
-from millrace.llm.line_dedup import OP5_SQL, op5_line_dedup
+from millrace.llm.line_dedup import op5_line_dedup
 from millrace.llm.near_duplicates import op8_near_duplicates
+from millrace.llm.oracle import oracle_sql
 from millrace.llm.quality import op10_quality
 from millrace.llm.substring_dedup import op3_substring_dedup
 from millrace.llm.warc import op6_warc
@@ -33,5 +34,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     }
 
 
-def oracle_sql() -> dict[str, str]:
-    return {"op5_line_dedup": OP5_SQL}
+__all__ = ["oracle_sql", "queries"]
