@@ -11,10 +11,13 @@ the rounds run over all elements of a slice at a time, and documents leave as th
 
 Documents with equal sets are one class before anything else (a 128-bit digest of the set), represented by the
 smallest id, so that copies never meet in pairs.  Classes that share a band of the signature are candidates.  In
-each bucket of candidates all are compared with one of them, the verified links are joined to components, and buckets
-whose members are all in one component are done; the others are compared with another member, and so on, until what
-is left is small or STARS rounds are over; then every pair in a bucket that is still in two components is compared.
-No pair is left out, and a group of n copies costs about n comparisons.
+each bucket the members are compared with one of them, the verified links are joined to components, and buckets whose
+members are all in one component are done.  For the others it is counted how many of a member's shingles any other
+candidate has; a member for which that is too few to reach the threshold with even the smallest in its bucket
+can't be linked there and leaves it.  That takes most copies which were edited too much out of a large group.  The
+rest is compared with the member that has least of its own (the likely origin); pairs that are still in two components
+are found from their overlaps with that member and an index over what they have besides it (see _rest).  No pair
+is left out, and a group of n copies costs about n comparisons a step.
 
 With ROWS = 4 and BANDS = 32 a pair at 0.8 shares no band with probability (1 - 0.8 ** 4) ** 32 = 5e-8.
 
@@ -34,7 +37,6 @@ from millrace.llm._shared import slices, table, written
 
 ROWS, BANDS = 4, 32
 SLOTS = ROWS * BANDS
-STARS = 6
 _NO_OFFER = np.uint64(0xFFFFFFFFFFFFFFFF)
 _32 = np.uint64(32)
 _LOW = np.uint64(0xFFFFFFFF)
@@ -154,6 +156,30 @@ def _linked(pairs: DataFrame, texts: DataFrame, shingle: int, percent: int) -> D
     return pairs.join(b, "b").join(a, "a").select("a", "b", "text_a", "text_b").mapInArrow(run, "a long, b long")
 
 
+def _facts(texts: DataFrame, shingle: int) -> DataFrame:
+    """texts(id, text) -> id, n (size of the set), u (how many of its shingles another of these texts has)."""
+
+    def run(batches):
+        for batch in slices(batches):
+            row, value = shingles(batch.column("text"), shingle)
+            at = np.concatenate([[0], np.cumsum(np.bincount(row, minlength=batch.num_rows))])
+            yield pa.RecordBatch.from_arrays([batch.column("id"), pa.ListArray.from_arrays(pa.array(at, pa.int32()), pa.array(value.view(np.int64)))], names=["id", "h"])
+
+    sets = written(texts.mapInArrow(run, "id long, h array<long>"), "sets")
+    each = sets.select("id", F.explode("h").alias("h"))
+    shared = written(each.groupBy("h").agg(F.min("id").alias("low"), F.max("id").alias("high")).filter("low < high").select("h"), "shared")
+    known = each.join(shared, "h").groupBy("id").agg(F.count("*").alias("u"))
+    return written(sets.select("id", F.size("h").cast("long").alias("n")).distinct().join(known, "id", "left").select("id", "n", F.coalesce("u", F.lit(0)).alias("u")), "facts")
+
+
+def _open(members: DataFrame, percent: int) -> DataFrame:
+    """members(bucket, id, label, n, u) without those that can't be linked to any other label in their bucket: a link
+    needs percent / (100 + percent) of both sizes in common, a member has at most u in common with anyone, and nobody
+    in the bucket is smaller than the smallest."""
+    low = members.groupBy("bucket").agg(F.min("n").alias("low"), F.min("label").alias("one"), F.max("label").alias("other")).filter("one < other")
+    return members.join(low.select("bucket", "low"), "bucket").filter((100 + percent) * F.col("u") >= percent * (F.col("n") + F.col("low"))).drop("low")
+
+
 def _classes(docs: DataFrame, shingle: int, percent: int) -> tuple[DataFrame, DataFrame, DataFrame | None]:
     """Sketches, classes (hi, lo, rep) and components of the classes (id, component), None if there are no links."""
     sk = written(sketches(docs, shingle), "sketches")
@@ -164,37 +190,95 @@ def _classes(docs: DataFrame, shingle: int, percent: int) -> tuple[DataFrame, Da
         return sk, reps, None
     members = written(own.join(shared, "bucket").select("bucket", "id", "pivot"), "members")
     texts = written(docs.join(members.select("id").distinct(), "id", "left_semi"), "texts")
-    found: DataFrame | None = None
-    labels: DataFrame | None = None
-    pairs = members.filter("id != pivot").select(F.col("pivot").alias("a"), F.col("id").alias("b")).distinct()
-    for turn in range(STARS + 1):
-        links = written(_linked(pairs, texts, shingle, percent), "links")
-        found = links if found is None else found.unionByName(links)
-        if not links.isEmpty():
-            labels = components(found)
-        named = members.select("bucket", "id")
-        if labels is not None:
-            named = named.join(labels, "id", "left").select("bucket", "id", F.coalesce("component", "id").alias("label"))
-        else:
-            named = named.withColumn("label", F.col("id"))
-        named = written(named, "named")
-        pivot = F.min(F.struct(F.xxhash64("id", F.lit(turn)).alias("h"), F.col("id"), F.col("label")))
-        still = named.groupBy("bucket").agg(F.count("*").alias("n"), F.min("label").alias("low"), F.max("label").alias("high"), pivot.alias("p")).filter("low < high")
-        still = written(still.select("bucket", "n", F.col("p.id").alias("pivot"), F.col("p.label").alias("pivot_label")), "open")
-        size = still.agg(F.sum("n").alias("n"), F.sum(F.col("n").cast("double") * (F.col("n") - 1) / 2).alias("pairs")).first()
-        if not size["n"] or turn == STARS + 1:
-            break
-        members = written(named.join(still, "bucket").select("bucket", "id", "label", "pivot", "pivot_label"), "members")
-        if turn + 1 >= STARS or size["pairs"] <= 4 * size["n"]:
-            one = members.select("bucket", F.col("id").alias("a"), F.col("label").alias("la"))
-            two = members.select("bucket", F.col("id").alias("b"), F.col("label").alias("lb"))
-            pairs = one.join(two, "bucket").filter("a < b and la != lb").select("a", "b").distinct()
-            links = written(_linked(pairs, texts, shingle, percent), "links")
-            if not links.isEmpty():
-                labels = components(found.unionByName(links))
-            break
-        pairs = members.filter("label != pivot_label").select(F.col("pivot").alias("a"), F.col("id").alias("b")).distinct()
-    return sk, reps, labels
+    pairs = members.filter("id != pivot").groupBy(F.col("id").alias("b")).agg(F.min("pivot").alias("a")).select("a", "b")
+    members = members.select("bucket", "id")
+    found = written(_linked(pairs, texts, shingle, percent), "links")
+    labels = None if found.isEmpty() else components(found)
+
+    def labelled(rows: DataFrame) -> DataFrame:
+        if labels is None:
+            return rows.withColumn("label", F.col("id"))
+        return rows.join(labels, "id", "left").withColumn("label", F.coalesce("component", "id")).drop("component")
+
+    now = labelled(members)
+    mixed = now.groupBy("bucket").agg(F.min("label").alias("one"), F.max("label").alias("other")).filter("one < other").select("bucket")
+    members = written(members.join(mixed, "bucket", "left_semi"), "open")
+    if members.isEmpty():
+        return sk, reps, labels
+    facts = _facts(texts.join(members.select("id").distinct(), "id", "left_semi"), shingle)
+    members = members.join(facts, "id")
+    members = written(_open(labelled(members), percent), "open")
+    members = written(_open(members, percent), "open")
+    best = _best(members)
+    star = members.join(best, "bucket").filter("label != pivot_label").groupBy(F.col("id").alias("b")).agg(F.min("pivot").alias("a")).select("a", "b")
+    links = written(_linked(star, texts, shingle, percent), "links")
+    if not links.isEmpty():
+        found = found.unionByName(links)
+        labels = components(found)
+    members = written(_open(labelled(members.drop("label")), percent), "open")
+    if members.isEmpty():
+        return sk, reps, labels
+    links = written(_rest(members, texts, shingle, percent), "links")
+    return sk, reps, labels if links.isEmpty() else components(found.unionByName(links))
+
+
+def _best(members: DataFrame) -> DataFrame:
+    """bucket, pivot, pivot_label: the member that shares most of its set, the likely origin of a group."""
+    rank = F.struct((-F.col("u") / F.col("n")).alias("alone"), F.col("id"), F.col("label"))
+    return members.groupBy("bucket").agg(F.min(rank).alias("p")).select("bucket", F.col("p.id").alias("pivot"), F.col("p.label").alias("pivot_label"))
+
+
+def _overlaps(pairs: DataFrame, texts: DataFrame, shingle: int) -> DataFrame:
+    """pairs(a, b) -> a, b, o (size of the intersection), na, nb, rest (hashes of b's shingles that a hasn't)."""
+
+    def run(batches):
+        for batch in slices(slices(batches, "text_a"), "text_b"):
+            n = batch.num_rows
+            ra, va = shingles(batch.column("text_a"), shingle)
+            rb, vb = shingles(batch.column("text_b"), shingle)
+            row, value, mine = np.concatenate([ra, rb]), np.concatenate([va, vb]), np.repeat([False, True], [len(ra), len(rb)])
+            order = np.lexsort((mine, value, row))
+            row, value, mine = row[order], value[order], mine[order]
+            twice = np.zeros(len(row), bool)
+            twice[1:] = (row[1:] == row[:-1]) & (value[1:] == value[:-1])
+            alone = mine & ~twice
+            at = np.concatenate([[0], np.cumsum(np.bincount(row[alone], minlength=n))])
+            yield pa.RecordBatch.from_arrays(
+                [batch.column("a"), batch.column("b"), *(pa.array(np.bincount(r, minlength=n).astype(np.int64)) for r in (row[twice], ra, rb)), pa.ListArray.from_arrays(pa.array(at, pa.int32()), pa.array(value[alone].view(np.int64)))],
+                names=["a", "b", "o", "na", "nb", "rest"],
+            )
+
+    a, b = (texts.select(F.col("id").alias(c), F.col("text").alias(f"text_{c}")) for c in "ab")
+    return pairs.join(b, "b").join(a, "a").select("a", "b", "text_a", "text_b").mapInArrow(run, "a long, b long, o long, na long, nb long, rest array<long>")
+
+
+def _rest(members: DataFrame, texts: DataFrame, shingle: int, percent: int) -> DataFrame:
+    """The links between different labels within a bucket, without comparing all with all.
+
+    With p the pivot of a bucket, two members x and y have in common what both share with p, at most the smaller of
+    their overlaps with p, and what both have besides p.  So a link needs a shingle besides p that both have, which an
+    index over those shingles finds, with the number of them, or overlaps with p that are large enough alone; and one
+    of the two is not of p's label."""
+    cells = members.join(_best(members), "bucket").select("pivot", "pivot_label", "id", "label").distinct()
+    cells = written(cells, "cells")
+    seen = written(_overlaps(cells.filter("id != pivot").select(F.col("pivot").alias("a"), F.col("id").alias("b")), texts, shingle), "overlaps")
+    need = lambda o, n: (100 + percent) * o >= percent * n
+    direct = seen.filter(need(F.col("o"), F.col("na") + F.col("nb"))).select("a", "b")
+    own = cells.join(seen.withColumnsRenamed({"a": "pivot", "b": "id", "nb": "n"}), ["pivot", "id"])
+    own = written(own.select("pivot", "id", "label", (F.col("label") != F.col("pivot_label")).alias("apart"), "n", "o", "rest"), "besides")
+    side = lambda df, x: df.select("pivot", *([c for c in ("h",) if c in df.columns]), *[F.col(c).alias(c + x) for c in ("id", "label", "n", "o", "apart")])
+    differ = (F.col("label1") != F.col("label2")) & (~F.col("apart2") | (F.col("id1") < F.col("id2")))
+    low = own.groupBy("pivot").agg(F.min("n").alias("low"), F.bool_or("apart").alias("some")).filter("some").select("pivot", "low")
+    near = own.drop("rest").join(low, "pivot").filter(need(F.col("o"), F.col("n") + F.col("low"))).drop("low")
+    alike = side(near.filter("apart"), "1").join(side(near, "2"), "pivot").filter(differ & need(F.least("o1", "o2"), F.col("n1") + F.col("n2")))
+    each = own.join(low.select("pivot"), "pivot", "left_semi").withColumn("h", F.explode("rest")).drop("rest")
+    mixed = written(each.groupBy("pivot", "h").agg(F.min("label").alias("one"), F.max("label").alias("other")).filter("one < other").select("pivot", "h"), "mixed")
+    each = written(each.join(mixed, ["pivot", "h"]), "index")
+    both = side(each.filter("apart"), "1").join(side(each, "2"), ["pivot", "h"]).filter(differ)
+    both = both.groupBy("pivot", "id1", "id2", "n1", "n2", "o1", "o2").agg(F.count("*").alias("k")).filter(need(F.least("o1", "o2") + F.col("k"), F.col("n1") + F.col("n2")))
+    pairs = alike.select(F.col("id1").alias("a"), F.col("id2").alias("b")).unionByName(both.select(F.col("id1").alias("a"), F.col("id2").alias("b")))
+    pairs = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    return _linked(pairs, texts, shingle, percent).unionByName(direct)
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, percent: int = 80) -> DataFrame:
