@@ -258,7 +258,8 @@ def _rest(members: DataFrame, texts: DataFrame, shingle: int, percent: int) -> D
     With p the pivot of a bucket, two members x and y have in common what both share with p, at most the smaller of
     their overlaps with p, and what both have besides p.  So a link needs a shingle besides p that both have, which an
     index over those shingles finds, with the number of them, or overlaps with p that are large enough alone; and one
-    of the two is not of p's label."""
+    of the two is not of p's label.  The index holds shingles that several labels have, of members whose overlap with p
+    and number of such shingles together could reach the threshold with the smallest of the bucket."""
     cells = members.join(_best(members), "bucket").select("pivot", "pivot_label", "id", "label").distinct()
     cells = written(cells, "cells")
     seen = written(_overlaps(cells.filter("id != pivot").select(F.col("pivot").alias("a"), F.col("id").alias("b")), texts, shingle), "overlaps")
@@ -274,6 +275,8 @@ def _rest(members: DataFrame, texts: DataFrame, shingle: int, percent: int) -> D
     each = own.join(low.select("pivot"), "pivot", "left_semi").withColumn("h", F.explode("rest")).drop("rest")
     mixed = written(each.groupBy("pivot", "h").agg(F.min("label").alias("one"), F.max("label").alias("other")).filter("one < other").select("pivot", "h"), "mixed")
     each = written(each.join(mixed, ["pivot", "h"]), "index")
+    enough = each.groupBy("pivot", "id", "n", "o").agg(F.count("*").alias("c")).join(low.select("pivot", "low"), "pivot").filter(need(F.col("o") + F.col("c"), F.col("n") + F.col("low")))
+    each = written(each.join(enough.select("pivot", "id"), ["pivot", "id"]), "index")
     both = side(each.filter("apart"), "1").join(side(each, "2"), ["pivot", "h"]).filter(differ)
     both = both.groupBy("pivot", "id1", "id2", "n1", "n2", "o1", "o2").agg(F.count("*").alias("k")).filter(need(F.least("o1", "o2") + F.col("k"), F.col("n1") + F.col("n2")))
     pairs = alike.select(F.col("id1").alias("a"), F.col("id2").alias("b")).unionByName(both.select(F.col("id1").alias("a"), F.col("id2").alias("b")))
