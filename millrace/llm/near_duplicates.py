@@ -28,7 +28,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from millrace.llm import _words
@@ -259,7 +259,9 @@ def _rest(members: DataFrame, texts: DataFrame, shingle: int, percent: int) -> D
     their overlaps with p, and what both have besides p.  So a link needs a shingle besides p that both have, which an
     index over those shingles finds, with the number of them, or overlaps with p that are large enough alone; and one
     of the two is not of p's label.  The index holds shingles that several labels have, of members whose overlap with p
-    and number of such shingles together could reach the threshold with the smallest of the bucket."""
+    and number of such shingles together could reach the threshold with the smallest of the bucket.  Shingles that the
+    same members have are one entry with a weight.  A member that needs r of them keeps all but the most common ones of
+    weight r - 1 at most: what it shares can't be among those alone; their weight is added to what a pair may share."""
     cells = members.join(_best(members), "bucket").select("pivot", "pivot_label", "id", "label").distinct()
     cells = written(cells, "cells")
     seen = written(_overlaps(cells.filter("id != pivot").select(F.col("pivot").alias("a"), F.col("id").alias("b")), texts, shingle), "overlaps")
@@ -277,8 +279,16 @@ def _rest(members: DataFrame, texts: DataFrame, shingle: int, percent: int) -> D
     each = written(each.join(mixed, ["pivot", "h"]), "index")
     enough = each.groupBy("pivot", "id", "n", "o").agg(F.count("*").alias("c")).join(low.select("pivot", "low"), "pivot").filter(need(F.col("o") + F.col("c"), F.col("n") + F.col("low")))
     each = written(each.join(enough.select("pivot", "id"), ["pivot", "id"]), "index")
-    both = side(each.filter("apart"), "1").join(side(each, "2"), ["pivot", "h"]).filter(differ)
-    both = both.groupBy("pivot", "id1", "id2", "n1", "n2", "o1", "o2").agg(F.count("*").alias("k")).filter(need(F.least("o1", "o2") + F.col("k"), F.col("n1") + F.col("n2")))
+    lists = each.groupBy("pivot", "h").agg(F.bit_xor(F.xxhash64("id")).alias("list"), F.count("*").alias("long"))
+    lists = each.join(lists, ["pivot", "h"]).groupBy("pivot", "list", "id", "label", "apart", "n", "o").agg(F.count("*").alias("w"), F.max("long").alias("long"))
+    common = Window.partitionBy("pivot", "id").orderBy(F.desc("long"), "list").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    spare = F.ceil(percent * (F.col("n") + F.col("low")) / (100 + percent)) - F.col("o") - 1
+    lists = written(lists.join(low.select("pivot", "low"), "pivot").withColumn("run", F.sum("w").over(common)).withColumn("spare", F.greatest(F.lit(0), spare)), "lists")
+    left_out = lists.filter(F.col("run") <= F.col("spare")).groupBy("pivot", "id").agg(F.sum("w").alias("out"))
+    one = lists.filter("apart and run > spare").join(left_out, ["pivot", "id"], "left").select("pivot", "list", F.col("id").alias("id1"), F.col("label").alias("label1"), F.col("n").alias("n1"), F.col("o").alias("o1"), F.col("w").alias("w1"), F.coalesce("out", F.lit(0)).alias("out"))
+    two = lists.select("pivot", "list", F.col("id").alias("id2"), F.col("label").alias("label2"), F.col("n").alias("n2"), F.col("o").alias("o2"), F.col("w").alias("w2"))
+    both = one.join(two, ["pivot", "list"]).filter(F.col("label1") != F.col("label2"))
+    both = both.groupBy("pivot", "id1", "id2", "n1", "n2", "o1", "o2", "out").agg(F.sum(F.least("w1", "w2")).alias("k")).filter(need(F.least("o1", "o2") + F.col("k") + F.col("out"), F.col("n1") + F.col("n2")))
     pairs = alike.select(F.col("id1").alias("a"), F.col("id2").alias("b")).unionByName(both.select(F.col("id1").alias("a"), F.col("id2").alias("b")))
     pairs = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
     return _linked(pairs, texts, shingle, percent).unionByName(direct)
