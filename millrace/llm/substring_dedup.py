@@ -33,6 +33,8 @@ from millrace.llm._shared import slices, table, written
 
 WIDTH = 50
 _SALT = 0x5851F42D4C957F2D
+#: Rows of windows, and bytes of text, that are unfolded at a time.
+_ROWS, _SLICE = 1 << 13, 1 << 19
 _BLANKS = bytes(32 if 9 <= c <= 13 else c for c in range(256))
 
 
@@ -48,7 +50,8 @@ def _anchors(w: _words.Words, seed: int, width: int) -> tuple[np.ndarray, np.nda
     if n <= 0:
         return np.zeros(0, np.int64), runs
     inside = w.row[:n] == w.row[width - 1 :]
-    least = np.lib.stride_tricks.sliding_window_view(runs, width - seed + 1)[:n].argmin(axis=1)
+    view = np.lib.stride_tricks.sliding_window_view(runs, width - seed + 1)[:n]
+    least = np.concatenate([view[i : i + _ROWS].argmin(axis=1) for i in range(0, n, _ROWS)])  # argmin copies its rows
     return np.unique((np.arange(n) + least)[inside]), runs
 
 
@@ -58,7 +61,7 @@ def profiles(rows: DataFrame, seed: int, width: int) -> DataFrame:
     pair = pa.struct([("h", pa.int64()), ("at", pa.int32())])
 
     def run(batches):
-        for batch in slices(batches):
+        for batch in slices(batches, limit=_SLICE):
             n = batch.num_rows
             w = _words.words(batch.column("text"))
             at, runs = _anchors(w, seed, width)
@@ -85,7 +88,7 @@ def _longer(texts: DataFrame, shorter: int, longer: int) -> DataFrame:
     triple = pa.struct([("h", pa.int64()), ("g", pa.int32()), ("at", pa.int32())])
 
     def run(batches):
-        for batch in slices(batches):
+        for batch in slices(batches, limit=_SLICE):
             n = batch.num_rows
             w = _words.words(batch.column("text"))
             runs, inside = w.runs(longer)
@@ -111,7 +114,7 @@ def _without(texts: DataFrame, width: int) -> DataFrame:
     pairs = pa.list_(pa.struct([("first", pa.int64()), ("end", pa.int64())]))
 
     def run(batches):
-        for batch in slices(batches):
+        for batch in slices(batches, limit=_SLICE):
             w = _words.words(batch.column("text"))
             kept, removed, ranges = [], [], []
             for i, found in enumerate(batch.column("found").to_pylist()):
