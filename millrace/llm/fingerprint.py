@@ -1,10 +1,12 @@
 """Document fingerprints from closed syncmers, in DataFrame functions only.
 
 A text is cut into pieces of up to PIECE code points, anew at each word, so that an edit shifts pieces within its word
-only.  A k-mer is K consecutive pieces, an s-mer S of them.  A k-mer is an anchor if the least hash among its s-mers
-is that of its first or its last one.  That depends on the k-mer alone, not on what stands around it: any k-mer that two
-texts share is an anchor of both or of neither, and about 2 in K - S + 1 k-mers are.  A text of fewer than K pieces, but
-not none, has its whole sequence of pieces as its only anchor.
+only.  A k-mer is K consecutive pieces, an s-mer S of them.  A k-mer is a
+closed syncmer, and an anchor, if the least hash among its s-mers is that of its first or its last one.  That depends on
+the k-mer alone, not on what stands around it: any k-mer that two texts share is an anchor of both or of neither, and
+about 2 in K - S + 1 k-mers are.  A text without a closed syncmer, which can have 11 pieces at most, has the k-mer of
+least hash as its only anchor; one of fewer than K pieces, but not none, its whole sequence.  So only a text without
+pieces has no anchor.
 
 Anchors come as (position in pieces, hash), in order.  A fingerprint is the set of the anchors' hashes; likeness is
 intersection over union, 1 for two empty sets.
@@ -39,31 +41,43 @@ def pieces(text: Column) -> Column:
     return F.regexp_extract_all(text, F.lit(rf"\S{{1,{PIECE}}}"), F.lit(0))
 
 
-def _anchors(sm: Column, n: Column) -> Column:
-    """sm: hashes of the s-mers; n: number of k-mers, at least 1."""
+def _anchors(sm: Column, n: Column, least: bool) -> Column:
+    """sm: hashes of the s-mers; n: number of k-mers, at least 1; least: the k-mer of least hash where no other is
+    picked."""
     last = K - S
 
     def chosen(i):
         edge = F.least(F.get(sm, i), F.get(sm, i + last))
         return edge <= F.least(*[F.get(sm, i + j) for j in range(1, last)])
 
-    picked = F.filter(F.sequence(F.lit(0), n - 1), chosen)
+    every = F.sequence(F.lit(0), n - 1)
     inner = [*range(0, last, S), last]
-    return F.transform(picked, lambda i: F.struct(i.alias("at"), F.hash(*[F.get(sm, i + j) for j in inner]).alias("h")))
+    h = lambda i: F.hash(*[F.get(sm, i + j) for j in inner])
+    anchor = lambda i, h: F.struct(i.alias("at"), h.alias("h"))
+    found = lambda picked: F.transform(picked, lambda i: anchor(i, h(i)))
+    if not least:
+        return found(F.filter(every, chosen))
+    one = let(F.array_min(F.transform(every, lambda i: F.struct(h(i).alias("h"), i.alias("at")))), lambda x: F.array(anchor(x["at"], x["h"])))
+    return let(F.filter(every, chosen), lambda picked: F.when(F.size(picked) > 0, found(picked)).otherwise(one))
 
 
-def syncmers(text: Column) -> Column:
-    """array<struct<at int, h int>> of a text without nulls."""
+def syncmers(text: Column, least: bool = False) -> Column:
+    """array<struct<at int, h int>> of a text without nulls: its closed syncmers, or the whole of a shorter text."""
     none = F.array().cast("array<struct<at:int,h:int>>")
 
     def of(h):
         smers = F.transform(F.sequence(F.lit(0), F.size(h) - S), lambda i: F.xxhash64(*[F.get(h, i + j) for j in range(S)]))
         whole = F.array(F.struct(F.lit(0).alias("at"), F.hash(h).alias("h")))
-        return F.when(F.size(h) >= K, let(smers, lambda sm: _anchors(sm, F.size(h) - (K - 1)))).when(F.size(h) > 0, whole).otherwise(none)
+        return F.when(F.size(h) >= K, let(smers, lambda sm: _anchors(sm, F.size(h) - (K - 1), least))).when(F.size(h) > 0, whole).otherwise(none)
 
     return let(F.transform(pieces(text), lambda x: F.xxhash64(x)), of)
 
 
+def anchors(text: Column) -> Column:
+    """syncmers(), and the k-mer of least hash where there are none."""
+    return syncmers(text, least=True)
+
+
 def hashes(anchors: Column) -> Column:
     return F.array_distinct(F.transform(anchors, lambda a: a["h"]))
 
@@ -140,14 +154,14 @@ def with_next(rows: DataFrame, carried: Column, name: str = "next") -> DataFrame
 
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """id, text, anchors (position, hash)."""
-    return docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text")).withColumn("anchors", syncmers(F.col("text")))
+    return docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text")).withColumn("anchors", anchors(F.col("text")))
 
 
 def op1_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "documents").select(F.col("doc_id").cast("long").alias("id"), F.coalesce("text", F.lit("")).alias("text"))
-    found = with_next(rows, F.struct(F.col("text"), hashes(syncmers(F.col("text"))).alias("f")))
+    found = with_next(rows, F.struct(F.col("text"), hashes(anchors(F.col("text"))).alias("f")))
     edited = F.expr("concat(left(text, length(text) - cast(floor(length(text) / 3) as int)), left(next.text, cast(floor(length(text) / 3) as int)))")
-    found = found.withColumn("edited", edited).withColumn("e", hashes(syncmers(F.col("edited"))))
+    found = found.withColumn("edited", edited).withColumn("e", hashes(anchors(F.col("edited"))))
     own, other = F.col("carried.f"), F.col("next.f")
     return found.select(
         F.col("id").alias("doc_id"),

@@ -120,6 +120,16 @@ def test_syncmers_against_brute_force(spark, corpus):
         assert [x.at for x in r.a] == want
 
 
+def test_no_text_with_a_word_has_an_empty_fingerprint(spark):
+    rng = random.Random(21)
+    texts = [" ".join("".join(rng.choice("abcdefgh") for _ in range(rng.randrange(1, 5))) for _ in range(n)) for n in range(1, 20) for _ in range(30)]
+    rows = [(r.text, tuple(x.h for x in r.anchors)) for r in fingerprint.fingerprints(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()]
+    assert len(rows) == len(texts) and all(a for _, a in rows)
+    assert len({a for _, a in rows}) == len({t for t, _ in rows})
+    empty = fingerprint.fingerprints(spark.createDataFrame([(1, None), (2, ""), (3, " \t\n")], "doc_id long, text string"))
+    assert [r.anchors for r in empty.collect()] == [[]] * 3
+
+
 def test_op1(spark, corpus, tmp_path):
     ids = random.Random(3).sample(range(10_000), len(corpus))
     got = {r.doc_id: r for r in fingerprint.op1_fingerprints(spark, write_tables(spark, tmp_path, documents=docs(spark, corpus, ids))).collect()}
