@@ -1,7 +1,8 @@
 """Document fingerprints from closed syncmers, in DataFrame functions only.
 
-A text is cut into pieces of up to PIECE code points, anew at each word, so that an edit shifts pieces within its word
-only.  A k-mer is K consecutive pieces, an s-mer S of them.  A k-mer is a
+A text is cut into pieces of up to PIECE code points, anew at each word and at each change between digits and other
+characters, so that an edit shifts pieces up to the next of these only.  In scripts without blanks between words each
+code point is a piece, so that an edit shifts none.  A k-mer is K consecutive pieces, an s-mer S of them.  A k-mer is a
 closed syncmer, and an anchor, if the least hash among its s-mers is that of its first or its last one.  That depends on
 the k-mer alone, not on what stands around it: any k-mer that two texts share is an anchor of both or of neither, and
 about 2 in K - S + 1 k-mers are.  A text without a closed syncmer, which can have 11 pieces at most, has the k-mer of
@@ -29,6 +30,7 @@ from pyspark.sql import functions as F
 from millrace.llm._shared import table
 
 PIECE, K, S = 4, 8, 3
+_UNSPACED = "".join(rf"\p{{Is{x}}}" for x in ("Han", "Hiragana", "Katakana", "Bopomofo", "Yi", "Thai", "Lao", "Khmer", "Myanmar", "Tibetan"))
 RANGES_PER_PARTITION = 8
 
 
@@ -38,7 +40,7 @@ def let(value: Column, body) -> Column:
 
 
 def pieces(text: Column) -> Column:
-    return F.regexp_extract_all(text, F.lit(rf"\S{{1,{PIECE}}}"), F.lit(0))
+    return F.regexp_extract_all(text, F.lit(rf"[^\s0-9{_UNSPACED}]{{1,{PIECE}}}|[0-9]{{1,{PIECE}}}|[{_UNSPACED}]"), F.lit(0))
 
 
 def _anchors(sm: Column, n: Column, least: bool) -> Column:

@@ -130,6 +130,16 @@ def test_no_text_with_a_word_has_an_empty_fingerprint(spark):
     assert [r.anchors for r in empty.collect()] == [[]] * 3
 
 
+def test_near_copies_in_runs_without_blanks_share_anchors(spark):
+    rng = random.Random(22)
+    runs = ["".join(chr(rng.randrange(low, low + 40)) for _ in range(400)) for low in (0x4E00, 0x3041, 0x30A1, 0x0E01)]
+    runs.append("".join(rng.choice("0123456789abcdef") for _ in range(400)))
+    for run in runs:
+        a, b = (fingerprint.hashes(fingerprint.syncmers(F.col(c))) for c in "ab")
+        row = spark.createDataFrame([(run, run[:5] + run[7] + run[5:])], "a string, b string").select(fingerprint.likeness(a, b).alias("x")).first()
+        assert row.x > 0.85
+
+
 def test_op1(spark, corpus, tmp_path):
     ids = random.Random(3).sample(range(10_000), len(corpus))
     got = {r.doc_id: r for r in fingerprint.op1_fingerprints(spark, write_tables(spark, tmp_path, documents=docs(spark, corpus, ids))).collect()}
