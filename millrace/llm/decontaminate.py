@@ -6,8 +6,9 @@ consecutive words of an item; an item of fewer words, but not none, is one windo
 only while its texts are under SHARD_BYTES; a larger benchmark is cut into shards of that size, each scanned in turn,
 whose hits are added up, so that no hit is lost and no task holds more than one shard.
 
-Defined results: null or empty text has no words and no hits; null or wordless items give no window; repeated items
-and documents are each counted by their rows; other columns of either table are not looked at."""
+Defined results: null or empty text has no words and no hits; null or wordless texts of items give no window;
+windows of an item without an id hit words, but add no item; repeated items and documents are each counted by their
+rows; other columns of either table are not looked at."""
 
 from __future__ import annotations
 
@@ -34,14 +35,16 @@ def normal_words(text: str | None) -> list[bytes]:
     return (text or "").encode("utf-8", "replace").translate(_FOLD).split()
 
 
-def automaton(items: list[tuple[int, str]], width: int = WIDTH):
+def automaton(items: list[tuple[int | None, str]], width: int = WIDTH):
     """From (item_id, text) rows; None if there is no window.  Keys are windows in spaces, values (words, item ids)."""
     by_window: dict[str, tuple[int, set]] = {}
     for item, text in items:
         own = normal_words(text)
         n = min(width, len(own))
         for i in range(len(own) - n + 1 if n else 0):
-            by_window.setdefault((b" " + b" ".join(own[i : i + n]) + b" ").decode("latin-1"), (n, set()))[1].add(item)
+            named = by_window.setdefault((b" " + b" ".join(own[i : i + n]) + b" ").decode("latin-1"), (n, set()))[1]
+            if item is not None:
+                named.add(item)
     if not by_window:
         return None
     made = ahocorasick.Automaton()
@@ -81,11 +84,9 @@ def original_spans(text: str, ranges: list[tuple[int, int]]) -> list[tuple[int,
     return [(at[a][0], at[b - 1][1]) for a, b in ranges]
 
 
-def shards(benchmark: DataFrame, item_col: str, text_col: str) -> Iterator[list[tuple[int, str]]]:
+def shards(benchmark: DataFrame, item_col: str, text_col: str) -> Iterator[list[tuple[int | None, str]]]:
     """The items in shards of at most SHARD_BYTES of text (or one item)."""
-    rows = benchmark.select(F.col(item_col).alias("item"), F.col(text_col).alias("text")).filter(
-        F.col("item").isNotNull() & F.col("text").isNotNull()
-    )
+    rows = benchmark.select(F.col(item_col).alias("item"), F.col(text_col).alias("text")).filter(F.col("text").isNotNull())
     total = rows.agg(F.sum(F.octet_length("text")).alias("n")).first()["n"] or 0
     if total <= SHARD_BYTES:
         yield [(r["item"], r["text"]) for r in rows.collect()]
@@ -101,7 +102,7 @@ def shards(benchmark: DataFrame, item_col: str, text_col: str) -> Iterator[list[
     yield some
 
 
-def _scanned(docs: DataFrame, items: list[tuple[int, str]], width: int) -> DataFrame:
+def _scanned(docs: DataFrame, items: list[tuple[int | None, str]], width: int) -> DataFrame:
     """docs(id, text) and n_words, ranges, spans, items."""
     sent = docs.sparkSession.sparkContext.broadcast(items)
     schema = "id long, n_words long, ranges array<struct<first:long,end:long>>, spans array<struct<first:long,end:long>>, items array<long>"

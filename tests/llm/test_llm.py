@@ -561,6 +561,18 @@ def test_op9(spark, corpus, tmp_path, monkeypatch, shard):
         assert len(said) == r.n_hit or shard
 
 
+@pytest.mark.parametrize("shard", [None, 20])
+def test_items_without_an_id_hit(spark, tmp_path, monkeypatch, shard):
+    if shard:
+        monkeypatch.setattr(decontaminate, "SHARD_BYTES", shard)
+    bench = spark.createDataFrame([(None, "no id here"), (3, "named item text"), (None, None)], "item_id long, text string")
+    texts = ["x no id here y", "named item text", "named item text no id here", "clean"]
+    folder = write_tables(spark, tmp_path, documents=docs(spark, texts), benchmark=bench)
+    got = {r.doc_id: (r.n_hit, r.n_items, r.items_sha256, r.contaminated) for r in decontaminate.op9_decontaminate(spark, folder).collect()}
+    assert got == {0: (3, 0, sha(""), True), 1: (3, 1, sha("3"), True), 2: (6, 1, sha("3"), True), 3: (0, 0, sha(""), False)}
+    assert [r.doc_id for r in decontaminate.clean(spark, docs(spark, texts), folder).collect()] == [3]
+
+
 def test_op9_empty_tables(spark, tmp_path):
     bench = spark.createDataFrame([], "item_id long, text string")
     folder = write_tables(spark, tmp_path, documents=docs(spark, ["a b c"]), benchmark=bench)
