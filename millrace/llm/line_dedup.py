@@ -6,8 +6,9 @@ a line of any frequency reaches its task as one sketch a partition.  Where the e
 threshold it decides; within BAND of it the distinct sites are counted exactly.  Lines of at least `min_sites` sites
 are then cut from the documents.
 
-A document of which more than `max_share` of the characters would go is a copy spread over sites rather than a page
-with boilerplate; it is left whole, for near-duplicate removal to deal with.
+Some documents are left whole.  With `proven`, as in the pipeline, these are the copies spread over sites, for
+near-duplicate removal to deal with: documents whose whole text stands on min_sites sites or more, counted like a line.
+Without it, as in op5 and its SQL, they are those of which more than `max_share` of the characters would go.
 
 Defined results: null text has no lines and stays null; a null site is one site of its own; rows that share id and
 text get the same result; a document keeps its other lines as they are, also its empty ones; other columns are not
@@ -53,14 +54,24 @@ def cuts(rows: DataFrame, min_sites: int = MIN_SITES) -> DataFrame:
     return one.groupBy("id", "th").agg(F.collect_list("no").alias("gone"), F.sum("size").alias("gone_chars"))
 
 
-def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", site_col: str = "source", min_sites: int = MIN_SITES, max_share: float = MAX_SHARE) -> DataFrame:
+def copies(rows: DataFrame, min_sites: int) -> DataFrame:
+    """rows(id, text, site) -> (h, g) of whole texts on at least min_sites sites."""
+    return boilerplate(rows.select(F.coalesce("site", F.lit("")).alias("site"), F.xxhash64("text").alias("h"), F.hash("text").alias("g")), min_sites)
+
+
+def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", site_col: str = "source", min_sites: int = MIN_SITES, max_share: float = MAX_SHARE, proven: bool = False) -> DataFrame:
     """docs and __text (without boilerplate), __n_lines, __n_removed, __whole (left whole though it has boilerplate)."""
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"), F.col(site_col).cast("string").alias("site"))
     gone = cuts(rows.filter(F.col("text").isNotNull()), min_sites).select(F.col("id").alias("__id"), F.col("th").alias("__th"), F.col("gone").alias("__gone"), F.col("gone_chars").alias("__chars"))
     text = F.col(text_col).cast("string")
     out = docs.withColumn("__own", F.xxhash64(text))
     out = out.join(gone, (F.col("__own") == F.col("__th")) & F.col(id_col).eqNullSafe(F.col("__id")), "left")
-    whole = F.coalesce(F.col("__chars") > F.length(text) * max_share, F.lit(False))
+    if proven:
+        spread = copies(rows.filter(F.col("text").isNotNull()), min_sites).select(F.col("h").alias("__h"), F.col("g").alias("__g"))
+        out = out.join(spread, (F.col("__own") == F.col("__h")) & (F.hash(text) == F.col("__g")), "left")
+        whole = F.col("__gone").isNotNull() & F.col("__h").isNotNull()
+    else:
+        whole = F.coalesce(F.col("__chars") > F.length(text) * max_share, F.lit(False))
     cut = F.col("__gone").isNotNull() & ~whole
     kept = F.array_join(F.filter(F.split(text, "\n"), lambda x, i: ~F.array_contains(F.col("__gone"), i)), "\n")
     n_lines = F.size(F.filter(F.split(F.coalesce(text, F.lit("")), "\n"), lambda x: F.length(F.btrim(x, F.lit(_BLANKS))) > 0))
@@ -101,7 +112,8 @@ FROM rows r LEFT JOIN gone g USING (doc_id) LEFT JOIN counts c USING (doc_id)
 
 
 def without_boilerplate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pipeline stage: every document stays, without the lines that are boilerplate; n_chars follows."""
-    found = line_dedup(docs)
+    """Pipeline stage: every document stays, without the lines that are boilerplate unless it is proven to be a copy;
+    n_chars follows."""
+    found = line_dedup(docs, proven=True)
     new = {"text": F.col("__text").alias("text"), "n_chars": F.when(F.col("__n_removed") > 0, F.length("__text").cast("long")).otherwise(F.col("n_chars")).alias("n_chars")}
     return found.select(*[new.get(c, F.col(f"`{c}`")) for c in docs.columns])

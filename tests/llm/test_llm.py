@@ -333,6 +333,18 @@ def test_line_counts_are_exact_at_the_threshold(spark):
     assert {r.s: r.n > 0 for r in got} == {s: s >= 10 for s in range(5, 15)}
 
 
+def test_only_proven_copies_are_left_whole(spark):
+    rows = [(i, f"menu of all sites\nown {i}", None, f"s{i}") for i in range(12)]  # mostly boilerplate, each text on one site
+    rows += [(100 + i, "copied text one\ncopied text two", None, f"s{i}") for i in range(10)]
+    rows += [(200, "copied text one\ncopied text two\nmine", None, "s1"), (201, "menu of all sites", None, "s1"), (202, None, None, "s1"), (203, "own\nmenu of all sites\n", None, None)]
+    df = spark.createDataFrame([(*r, 7) for r in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    got = {r.doc_id: (r.text, r.n_chars) for r in line_dedup.without_boilerplate(spark, df, "").collect()}
+    assert len(got) == len(rows)
+    assert all(got[i] == (f"own {i}", len(f"own {i}")) for i in range(12))
+    assert all(got[100 + i] == ("copied text one\ncopied text two", 7) for i in range(10))
+    assert (got[200], got[201], got[202], got[203]) == (("mine", 4), ("", 0), (None, 7), ("own\n", 4))
+
+
 # ---------------------------------------------------------------- 6 WARC
 
 
