@@ -69,13 +69,15 @@ def _offers(value: np.ndarray, k: int, slots: int) -> tuple[np.ndarray, np.ndarr
 
 
 def signatures(row: np.ndarray, value: np.ndarray, n_rows: int, slots: int = SLOTS) -> np.ndarray:
-    """SuperMinHash of each row's elements, n_rows x slots; rows without elements have no offers."""
+    """SuperMinHash of each row's elements, n_rows x slots; rows without elements have no offers.  row is sorted."""
     sig = np.full(n_rows * slots, _NO_OFFER, np.uint64)
     swap, offer = _offers(value, 0, slots)
     np.minimum.at(sig, row * slots + swap, offer)
     full = lambda: (sig.reshape(n_rows, slots) != _NO_OFFER).all(axis=1)
     short = ~full()[row] if len(row) else np.zeros(0, bool)
-    for rows in np.array_split(np.flatnonzero(short), 1 + short.sum() // _BLOCK):
+    some = np.flatnonzero(short)
+    own = row[some]  # sorted; blocks end where a row does, as a row's slots must see all of its elements
+    for rows in np.split(some, np.searchsorted(own, np.unique(own[_BLOCK::_BLOCK]))):
         if len(rows):
             _later_rounds(sig, row, value, swap, rows, slots)
     return sig.reshape(n_rows, slots)

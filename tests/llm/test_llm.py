@@ -468,6 +468,16 @@ def test_superminhash_rounds():
     assert (sig[2] == near_duplicates._NO_OFFER).all()
 
 
+def test_signatures_do_not_depend_on_the_block(monkeypatch):
+    rng = np.random.default_rng(3)
+    row = np.repeat(np.arange(40), rng.integers(1, 120, 40))
+    value = rng.integers(0, 1 << 63, len(row)).astype(np.uint64)
+    whole = near_duplicates.signatures(row, value, 41)
+    for block in (1, 50, 64, 333):
+        monkeypatch.setattr(near_duplicates, "_BLOCK", block)
+        assert (near_duplicates.signatures(row, value, 41) == whole).all()
+
+
 def test_signatures_estimate_jaccard():
     rng = np.random.default_rng(2)
     common, a, b = (rng.integers(0, 1 << 63, n).astype(np.uint64) for n in (600, 100, 100))
