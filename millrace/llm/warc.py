@@ -3,7 +3,8 @@
 An archive is a skippable frame (magic 0x184D2A5D) that holds a Zstandard dictionary, then one Zstandard frame for each
 record, compressed with it, so that every record can be read alone.  The dictionary is built from the archive's own
 first records: SAMPLE_BYTES of them at most (one record at least) are held back until it is made, then written like the
-others.  An archive is closed at ARCHIVE_BYTES of payload and the next begun.
+others.  Fewer than SAMPLES records are cut into pieces to train on.  The dictionary is empty and the frames are plain
+only where the records held back are under LEAST_BYTES in all or too uniform to train on.  An archive is closed at ARCHIVE_BYTES of payload and the next begun.
 
 Of the records with equal payloads (by SHA-1 and length) of at least `least` bytes that with the smallest page id is a
 `response`; the others are `revisit` records that name it and keep the HTTP header only.  Smaller payloads are all
@@ -38,6 +39,7 @@ DICTIONARY_MAGIC, FRAME_MAGIC, RAW_DICTIONARY_MAGIC = 0x184D2A5D, 0xFD2FB528, 0x
 REVISIT_PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 
 SAMPLE_BYTES, DICTIONARY_BYTES, ARCHIVE_BYTES, LEVEL = 4 << 20, 64 << 10, 64 << 20, 3
+SAMPLES, LEAST_BYTES = 16, 8 << 10
 DATE = "1970-01-01T00:00:00Z"
 LEAST = 0
 
@@ -92,8 +94,11 @@ def parse(raw: bytes) -> tuple[dict[str, str], dict[str, str], bytes]:
 def _dictionary(samples: list[bytes]) -> zstandard.ZstdCompressionDict | None:
     """None where too little is there to build one."""
     total = sum(map(len, samples))
-    if len(samples) < 16 or total < 8 * 1024:
+    if total < LEAST_BYTES:
         return None
+    if len(samples) < SAMPLES:
+        size = min(16 << 10, total // (2 * SAMPLES))
+        samples = [x[i : i + size] for x in samples for i in range(0, len(x), size)]
     try:
         return zstandard.train_dictionary(min(DICTIONARY_BYTES, max(1024, total // 16)), samples, level=LEVEL, threads=0, k=256, d=8)
     except zstandard.ZstdError:

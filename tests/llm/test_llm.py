@@ -392,6 +392,20 @@ def test_archives_have_a_dictionary_and_single_records(tmp_path):
     assert len(data) < sum(len(zstandard.compress(r)) for r in raws)
 
 
+@pytest.mark.parametrize(("n", "size"), [(5, 4_000), (15, 300_000), (1, 60_000)])
+def test_few_or_large_records_have_a_dictionary(tmp_path, n, size):
+    rng = random.Random(n)
+    words = ["".join(rng.choice("abcdefgh") for _ in range(6)) for _ in range(300)]
+    raws = [warc.record(i, f"http://x/{i}", " ".join(rng.choice(words) for _ in range(size // 7)).encode(), None) for i in range(n)]
+    w = warc.Writer(f"file://{tmp_path}")
+    for r in raws:
+        w.add(r)
+    (path, _), = w.close()
+    magic, length = struct.unpack("<II", Path(path).read_bytes()[:8])
+    assert magic == warc.DICTIONARY_MAGIC and length > 0
+    assert list(warc.read(f"file://{tmp_path}", path)) == raws
+
+
 # ---------------------------------------------------------------- 7 language
 
 
