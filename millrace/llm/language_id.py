@@ -3,10 +3,12 @@
 Subwords are runs of 3 to 5 bytes that reach at most one byte beyond a word at either end (A-Z lower-cased, every other
 ASCII byte that is no letter counts as a blank), hashed to BUCKETS.  A text's vector is the mean of its subwords'
 embeddings; a linear layer and a softmax follow.  Both layers are trained by stochastic gradient descent in numpy on a
-bounded sample: at most SAMPLE labelled documents in all, shared evenly by the languages, each of at most LONGEST
-characters, chosen by a hash of the id.  A fifth of the sample is held back: on it a temperature is fitted (so that
-scores are calibrated probabilities) and the rejection threshold is set so that REJECTED of its documents fall below
-it, at LIKELY at most.
+bounded sample: about SAMPLE labelled documents in all, chosen by a hash of the id, shared evenly by the languages; every
+language has EACH at least, as far as it has as many, and one in any case.  Of a longer document the first LONGEST
+characters are taken, fewer where EACH makes the sample larger, so that the sample's size is bounded.  There is no limit
+on the number of languages; the model takes 4 bytes x BUCKETS for each.  A fifth of the sample is held back, though not
+all documents of a language: on it a temperature is fitted (so that scores are calibrated probabilities) and the
+rejection threshold is set so that REJECTED of its documents fall below it, at LIKELY at most.
 
 Predictions read the text alone, all of it.  As the model is linear after the mean, executors get the product of both
 layers, one row of logits for each bucket.
@@ -24,10 +26,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from millrace.llm import _words
-from millrace.llm._shared import slices, table
+from millrace.llm._shared import slices, table, written
 
 BUCKETS, DIM = 1 << 15, 16
-SAMPLE, LONGEST = 2048, 20_000
+SAMPLE, EACH, LONGEST = 2048, 8, 20_000
 EPOCHS, BATCH, RATE = 6, 32, 0.5
 REJECTED, LIKELY = 0.001, 0.5
 UNKNOWN = "und"
@@ -100,6 +102,8 @@ def train(texts: list[str], labels: list[str], seed: int = 7) -> Model:
     x, y = bags(texts), np.array([langs.index(v) for v in labels], np.int64)
     order = rng.permutation(len(x))
     held, used = order[: len(x) // 5], order[len(x) // 5 :]
+    only = ~np.isin(y[held], y[used])  # languages that would be held back as a whole
+    held, used = held[~only], np.append(used, held[only])
     emb = rng.normal(0, 1 / DIM, (BUCKETS, DIM)).astype(np.float32)
     out, bias = np.zeros((DIM, len(langs)), np.float32), np.zeros(len(langs), np.float32)
     out += rng.normal(0, 1 / DIM, out.shape).astype(np.float32)
@@ -133,15 +137,18 @@ def train(texts: list[str], labels: list[str], seed: int = 7) -> Model:
 
 
 def sample(docs: DataFrame, size: int = SAMPLE) -> list[tuple[str, str]]:
-    """(text, lang) rows, at most about `size`, shared evenly by the languages of docs(id, text, lang)."""
-    known = docs.filter(F.col("lang").isNotNull() & F.col("text").isNotNull() & (F.length("text").between(1, LONGEST)))
-    counts = known.groupBy("lang").count().orderBy(F.desc("count")).limit(size // 8).collect()
-    if not counts:
+    """(text, lang) rows, about `size` or EACH a language, shared evenly by the languages of docs(id, text, lang)."""
+    known = docs.filter(F.col("lang").isNotNull() & (F.length("text") > 0))
+    known = known.withColumn("drawn", F.pmod(F.xxhash64("id", "text"), F.lit(1 << 40)) / float(1 << 40))
+    counts = written(known.groupBy("lang").agg(F.count("*").alias("n"), F.min("drawn").alias("least")), "langs")
+    n = counts.count()
+    if not n:
         return []
-    share = size / len(counts)
-    limits = F.create_map(*[v for r in counts for v in (F.lit(r["lang"]), F.lit(min(1.0, share / r["count"])))])
-    drawn = F.pmod(F.xxhash64("id", "text"), F.lit(1 << 20)) / float(1 << 20)
-    return [(r["text"], r["lang"]) for r in known.filter(drawn < F.element_at(limits, F.col("lang"))).select("text", "lang").collect()]
+    share = max(size / n, EACH)
+    longest = max(1, int(LONGEST * size / (share * n)))
+    limits = counts.select(F.col("lang").alias("of"), "least", (share / F.col("n")).alias("limit"))
+    some = known.join(F.broadcast(limits), F.col("lang") == F.col("of")).filter((F.col("drawn") < F.col("limit")) | (F.col("drawn") == F.col("least")))
+    return [(r["text"], r["lang"]) for r in some.select(F.substring("text", 1, longest).alias("text"), "lang").collect()]
 
 
 def has_letter(text: str | None) -> bool:

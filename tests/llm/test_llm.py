@@ -432,6 +432,15 @@ def test_language_held_out(spark, tmp_path):
     assert [r.lang_pred for r in unlabelled] == ["und"]
 
 
+def test_every_language_is_in_the_sample_and_learned(spark):
+    rows = [(i, f"text {i}", f"l{i % 300:03}") for i in range(900)] + [(1000 + i, "langer satz " * 3000, "long") for i in range(3)] + [(2000, "nur einmal hier", "once")]
+    some = language_id.sample(spark.createDataFrame(rows, "id long, text string, lang string"))
+    assert {v for _, v in some} == {r[2] for r in rows} and sum(len(t) for t, _ in some) <= language_id.SAMPLE * language_id.LONGEST
+    for seed in range(12):
+        m = language_id.train(["kako tikomu"] * 20 + ["schein verung"], ["aa"] * 20 + ["bb"], seed)
+        assert m.scores(pa.array(["schein verung"]))[0].argmax() == 1
+
+
 def test_a_prediction_depends_on_its_text_alone():
     m = language_id.train(["kako tikomu"] * 20 + ["schein verung"] * 20, ["aa"] * 20 + ["bb"] * 20)
     many = m.scores(pa.array(["kako", "schein ung", "", "mukati"]))
