@@ -72,6 +72,18 @@ def slices(batches: Iterator[pa.RecordBatch], column: str = "text", limit: int =
         yield batch.slice(start)
 
 
+def fresh(df: DataFrame, *names: str):
+    """For each name a column name that df doesn't have yet; of one name the string itself."""
+    taken = {c.lower() for c in df.columns}
+    made = []
+    for name in names:
+        while name.lower() in taken:
+            name += "_"
+        taken.add(name.lower())
+        made.append(name)
+    return made if len(made) > 1 else made[0]
+
+
 def sha_hex(col):
     """Lowercase hex SHA-256 of a string column's UTF-8."""
     return F.sha2(col.cast("binary"), 256)

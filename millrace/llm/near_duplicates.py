@@ -14,12 +14,14 @@ smallest id, so that copies never meet in pairs.  Classes that share a band of t
 each bucket the members are compared with one of them, the verified links are joined to components, and buckets whose
 members are all in one component are done.  For the others it is counted how many of a member's shingles any other
 candidate has; a member for which that is too few to reach the threshold with even the smallest in its bucket
-can't be linked there and leaves it.  That takes most copies which were edited too much out of a large group.  The
-rest is compared with the member that has least of its own (the likely origin); pairs that are still in two components
-are found from their overlaps with that member and an index over what they have besides it (see _rest).  No pair
-is left out, and a group of n copies costs about n comparisons a step.
+can't be linked there and leaves it.  Who is left gets a second, longer signature in bands so narrow (FINE_ROWS) that
+texts well below the threshold seldom meet.  In these buckets too all are compared with one member, the likely origin,
+and joined.  Pairs that are still in two components are found by a prefix filter over what tells a member from a
+pivot of its neighbourhood (see _rest).  No pair of a bucket is left out; none is made that can't reach the threshold
+by the sizes and rarest differences of both.
 
-With ROWS = 4 and BANDS = 32 a pair at 0.8 shares no band with probability (1 - 0.8 ** 4) ** 32 = 5e-8.
+With ROWS = 4 and BANDS = 32 a pair at 0.8 shares no band with probability (1 - 0.8 ** 4) ** 32 = 5e-8; with
+FINE_ROWS = 12 and FINE_BANDS = 150 with (1 - 0.8 ** 12) ** 150 = 2e-5.
 
 Defined results: null text is an empty set; a null id is in no group (component null); rows that share an id are one
 vertex; other columns are not looked at."""
@@ -33,14 +35,17 @@ from pyspark.sql import functions as F
 
 from millrace.llm import _words
 from millrace.llm._graph import components
-from millrace.llm._shared import slices, table, written
+from millrace.llm._shared import fresh, slices, table, written
 
 ROWS, BANDS = 4, 32
+FINE_ROWS, FINE_BANDS = 12, 150
 SLOTS = ROWS * BANDS
 _NO_OFFER = np.uint64(0xFFFFFFFFFFFFFFFF)
 _32 = np.uint64(32)
 _LOW = np.uint64(0xFFFFFFFF)
+#: Elements that run their later rounds together at most, and bytes of signatures that a task holds at a time.
 _BLOCK = 1 << 17
+_SIGNATURE_BYTES = 64 << 20
 
 
 def shingles(texts: pa.Array, k: int) -> tuple[np.ndarray, np.ndarray]:
@@ -77,15 +82,20 @@ def signatures(row: np.ndarray, value: np.ndarray, n_rows: int, slots: int = SLO
     short = ~full()[row] if len(row) else np.zeros(0, bool)
     some = np.flatnonzero(short)
     own = row[some]  # sorted; blocks end where a row does, as a row's slots must see all of its elements
-    for rows in np.split(some, np.searchsorted(own, np.unique(own[_BLOCK::_BLOCK]))):
+    block = max(1, _BLOCK * SLOTS // (slots * _order_type(slots).itemsize))
+    for rows in np.split(some, np.searchsorted(own, np.unique(own[block::block]))):
         if len(rows):
             _later_rounds(sig, row, value, swap, rows, slots)
     return sig.reshape(n_rows, slots)
 
 
+def _order_type(slots: int) -> np.dtype:
+    return np.dtype(np.uint8 if slots <= 1 << 8 else np.uint16 if slots <= 1 << 16 else np.int32)
+
+
 def _later_rounds(sig, row, value, swap, some, slots) -> None:
     row, value = row[some], value[some]
-    order = np.empty((len(some), slots), np.uint8 if slots <= 256 else np.int32)
+    order = np.empty((len(some), slots), _order_type(slots))
     order[:] = np.arange(slots)
     each = np.arange(len(some))
     order[each, swap[some]], order[:, 0] = 0, swap[some]
@@ -106,7 +116,16 @@ def _later_rounds(sig, row, value, swap, some, slots) -> None:
                 each = np.arange(len(row))
 
 
-def _sketch(batch: pa.RecordBatch, k: int) -> pa.RecordBatch:
+def _keys(sig: np.ndarray, bands: int) -> np.ndarray:
+    """A hash of each band of each signature."""
+    rows = sig.shape[1] // bands
+    keys = np.zeros((len(sig), bands), np.uint64)
+    for r in range(rows):
+        keys = _words.mix(keys + sig[:, r::rows] * np.uint64(2 * r + 3))
+    return _words.mix(keys + np.arange(1, bands + 1, dtype=np.uint64)[None, :])
+
+
+def _sketch(batch: pa.RecordBatch, k: int, rows: int, bands: int) -> pa.RecordBatch:
     n = batch.num_rows
     row, value = shingles(batch.column("text"), k)
     counts = np.bincount(row, minlength=n)
@@ -115,25 +134,23 @@ def _sketch(batch: pa.RecordBatch, k: int) -> pa.RecordBatch:
         total = np.concatenate([np.zeros(1, np.uint64), np.cumsum(_words.mix(value ^ salt), dtype=np.uint64)])
         at = np.concatenate([[0], np.cumsum(counts)])
         digests.append((total[at[1:]] - total[at[:-1]]).view(np.int64))
-    sig = signatures(row, value, n)
-    keys = np.zeros((n, BANDS), np.uint64)
-    for r in range(ROWS):
-        keys = _words.mix(keys + sig[:, r::ROWS] * np.uint64(2 * r + 3))
-    keys = _words.mix(keys + np.arange(1, BANDS + 1, dtype=np.uint64)[None, :])
+    keys = _keys(signatures(row, value, n, rows * bands), bands)
     has = counts > 0
-    at = np.concatenate([[0], np.cumsum(np.where(has, BANDS, 0))])
+    at = np.concatenate([[0], np.cumsum(np.where(has, bands, 0))])
     return pa.RecordBatch.from_arrays(
         [batch.column("id"), pa.array(counts.astype(np.int64)), pa.array(digests[0]), pa.array(digests[1]), pa.ListArray.from_arrays(pa.array(at, pa.int32()), pa.array(keys[has].ravel().view(np.int64)))],
         names=["id", "n_shingles", "hi", "lo", "bands"],
     )
 
 
-def sketches(docs: DataFrame, shingle: int) -> DataFrame:
+def sketches(docs: DataFrame, shingle: int, rows: int = ROWS, bands: int = BANDS) -> DataFrame:
     """docs(id, text) -> id, n_shingles, hi and lo (digest of the set), bands."""
+    most = max(1, _SIGNATURE_BYTES // (8 * rows * bands))
 
     def run(batches):
         for batch in slices(batches):
-            yield _sketch(batch, shingle)
+            for i in range(0, batch.num_rows, most):
+                yield _sketch(batch.slice(i, most), shingle, rows, bands)
 
     return docs.mapInArrow(run, "id long, n_shingles long, hi long, lo long, bands array<long>")
 
@@ -182,6 +199,32 @@ def _open(members: DataFrame, percent: int) -> DataFrame:
     return members.join(low.select("bucket", "low"), "bucket").filter((100 + percent) * F.col("u") >= percent * (F.col("n") + F.col("low"))).drop("low")
 
 
+def _labelled(rows: DataFrame, labels: DataFrame | None, by: str = "id", name: str = "label") -> DataFrame:
+    """The component of `by` as a column; without one it is `by` itself."""
+    if labels is None:
+        return rows.withColumn(name, F.col(by))
+    return rows.join(labels.select(F.col("id").alias(by), F.col("component").alias("_of")), by, "left").withColumn(name, F.coalesce("_of", by)).drop("_of")
+
+
+def _joined(labels: DataFrame | None, links: DataFrame) -> DataFrame | None:
+    """Components after further links(a, b): only components are joined, not their members' links again."""
+    if links.isEmpty():
+        return labels
+    if labels is None:
+        return components(links)
+    ends = links.select(F.col("a").alias("id")).unionByName(links.select(F.col("b").alias("id"))).distinct()
+    every = labels.unionByName(ends.join(labels, "id", "left_anti").select("id", F.col("id").alias("component")))
+    lifted = _labelled(_labelled(links, labels, "a", "la"), labels, "b", "lb").select(F.col("la").alias("a"), F.col("lb").alias("b"))
+    up = components(lifted).select(F.col("id").alias("component"), F.col("component").alias("to"))
+    return written(every.join(up, "component", "left").select("id", F.coalesce("to", "component").alias("component")), "components")
+
+
+def _mixed(members: DataFrame) -> DataFrame:
+    """members(bucket, label, ...) of buckets with several labels."""
+    buckets = members.groupBy("bucket").agg(F.min("label").alias("one"), F.max("label").alias("other")).filter("one < other").select("bucket")
+    return members.join(buckets, "bucket", "left_semi")
+
+
 def _classes(docs: DataFrame, shingle: int, percent: int) -> tuple[DataFrame, DataFrame, DataFrame | None]:
     """Sketches, classes (hi, lo, rep) and components of the classes (id, component), None if there are no links."""
     sk = written(sketches(docs, shingle), "sketches")
@@ -193,106 +236,111 @@ def _classes(docs: DataFrame, shingle: int, percent: int) -> tuple[DataFrame, Da
     members = written(own.join(shared, "bucket").select("bucket", "id", "pivot"), "members")
     texts = written(docs.join(members.select("id").distinct(), "id", "left_semi"), "texts")
     pairs = members.filter("id != pivot").groupBy(F.col("id").alias("b")).agg(F.min("pivot").alias("a")).select("a", "b")
-    members = members.select("bucket", "id")
-    found = written(_linked(pairs, texts, shingle, percent), "links")
-    labels = None if found.isEmpty() else components(found)
-
-    def labelled(rows: DataFrame) -> DataFrame:
-        if labels is None:
-            return rows.withColumn("label", F.col("id"))
-        return rows.join(labels, "id", "left").withColumn("label", F.coalesce("component", "id")).drop("component")
-
-    now = labelled(members)
-    mixed = now.groupBy("bucket").agg(F.min("label").alias("one"), F.max("label").alias("other")).filter("one < other").select("bucket")
-    members = written(members.join(mixed, "bucket", "left_semi"), "open")
+    labels = _joined(None, written(_linked(pairs, texts, shingle, percent), "links"))
+    members = written(_mixed(_labelled(members.select("bucket", "id"), labels)), "open")
     if members.isEmpty():
         return sk, reps, labels
     facts = _facts(texts.join(members.select("id").distinct(), "id", "left_semi"), shingle)
-    members = members.join(facts, "id")
-    members = written(_open(labelled(members), percent), "open")
+    members = written(_open(members.join(facts, "id"), percent), "open")
     members = written(_open(members, percent), "open")
-    best = _best(members)
-    star = members.join(best, "bucket").filter("label != pivot_label").groupBy(F.col("id").alias("b")).agg(F.min("pivot").alias("a")).select("a", "b")
-    links = written(_linked(star, texts, shingle, percent), "links")
-    if not links.isEmpty():
-        found = found.unionByName(links)
-        labels = components(found)
-    members = written(_open(labelled(members.drop("label")), percent), "open")
     if members.isEmpty():
         return sk, reps, labels
-    links = written(_rest(members, texts, shingle, percent), "links")
-    return sk, reps, labels if links.isEmpty() else components(found.unionByName(links))
+    texts = written(texts.join(members.select("id").distinct(), "id", "left_semi"), "texts")
+    fine = sketches(texts, shingle, FINE_ROWS, FINE_BANDS).select("id", F.explode("bands").alias("bucket")).distinct()
+    fine = written(_labelled(fine, labels).join(facts, "id"), "fine")
+    members = written(_open(fine, percent), "open")
+    star = members.join(_best(members), "bucket").filter("label != pivot_label").select(F.col("pivot").alias("a"), F.col("id").alias("b")).distinct()
+    labels = _joined(labels, written(_linked(star, texts, shingle, percent), "links"))
+    members = written(_open(_labelled(members.drop("label"), labels), percent), "open")
+    if members.isEmpty():
+        return sk, reps, labels
+    return sk, reps, _joined(labels, written(_rest(members, texts, shingle, percent), "links"))
 
 
 def _best(members: DataFrame) -> DataFrame:
     """bucket, pivot, pivot_label: the member that shares most of its set, the likely origin of a group."""
-    rank = F.struct((-F.col("u") / F.col("n")).alias("alone"), F.col("id"), F.col("label"))
-    return members.groupBy("bucket").agg(F.min(rank).alias("p")).select("bucket", F.col("p.id").alias("pivot"), F.col("p.label").alias("pivot_label"))
+    best = members.groupBy("bucket").agg(F.min(_rank("id", "label", "u", "n")).alias("p"))
+    return best.select("bucket", F.col("p.id").alias("pivot"), F.col("p.label").alias("pivot_label"))
+
+
+def _rank(id_col: str, label_col: str, u: str, n: str):
+    return F.struct((-F.col(u) / F.col(n)).alias("alone"), F.col(id_col).alias("id"), F.col(label_col).alias("label"))
+
 
+def _cells(members: DataFrame) -> DataFrame:
+    """(pivot, pivot_label, id, label): each member under the pivot of its bucket.  A pivot need not be a member: where
+    the best member of a bucket is in other buckets too, the best of all their pivots stands for it, so that the many
+    buckets of one neighbourhood share a pivot and a member is seldom under more than a few."""
+    best = written(members.groupBy("bucket").agg(F.min(_rank("id", "label", "u", "n")).alias("p")), "pivots")
+    over = members.join(best, "bucket").groupBy("id").agg(F.min("p").alias("q"))
+    moved = best.select("bucket", F.col("p.id").alias("id")).join(over, "id").select("bucket", F.col("q.id").alias("pivot"), F.col("q.label").alias("pivot_label"))
+    return members.join(moved, "bucket").filter("id != pivot").select("pivot", "pivot_label", "id", "label").distinct()
 
-def _overlaps(pairs: DataFrame, texts: DataFrame, shingle: int) -> DataFrame:
-    """pairs(a, b) -> a, b, o (size of the intersection), na, nb, rest (hashes of b's shingles that a hasn't)."""
+
+def _differences(pairs: DataFrame, texts: DataFrame, shingle: int) -> DataFrame:
+    """pairs(a, b) -> a, b, na and n (sizes of their sets), delta (hashes of the shingles that one of both has)."""
 
     def run(batches):
         for batch in slices(slices(batches, "text_a"), "text_b"):
-            n = batch.num_rows
+            size = batch.num_rows
             ra, va = shingles(batch.column("text_a"), shingle)
             rb, vb = shingles(batch.column("text_b"), shingle)
-            row, value, mine = np.concatenate([ra, rb]), np.concatenate([va, vb]), np.repeat([False, True], [len(ra), len(rb)])
-            order = np.lexsort((mine, value, row))
-            row, value, mine = row[order], value[order], mine[order]
-            twice = np.zeros(len(row), bool)
-            twice[1:] = (row[1:] == row[:-1]) & (value[1:] == value[:-1])
-            alone = mine & ~twice
-            at = np.concatenate([[0], np.cumsum(np.bincount(row[alone], minlength=n))])
-            yield pa.RecordBatch.from_arrays(
-                [batch.column("a"), batch.column("b"), *(pa.array(np.bincount(r, minlength=n).astype(np.int64)) for r in (row[twice], ra, rb)), pa.ListArray.from_arrays(pa.array(at, pa.int32()), pa.array(value[alone].view(np.int64)))],
-                names=["a", "b", "o", "na", "nb", "rest"],
-            )
+            row, value = np.concatenate([ra, rb]), np.concatenate([va, vb])
+            order = np.lexsort((value, row))
+            row, value = row[order], value[order]
+            same = (row[1:] == row[:-1]) & (value[1:] == value[:-1])
+            alone = np.ones(len(row), bool)
+            alone[1:] &= ~same
+            alone[:-1] &= ~same
+            at = np.concatenate([[0], np.cumsum(np.bincount(row[alone], minlength=size))])
+            delta = pa.ListArray.from_arrays(pa.array(at, pa.int32()), pa.array(value[alone].view(np.int64)))
+            sizes = [pa.array(np.bincount(r, minlength=size).astype(np.int64)) for r in (ra, rb)]
+            yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b"), *sizes, delta], names=["a", "b", "na", "n", "delta"])
 
     a, b = (texts.select(F.col("id").alias(c), F.col("text").alias(f"text_{c}")) for c in "ab")
-    return pairs.join(b, "b").join(a, "a").select("a", "b", "text_a", "text_b").mapInArrow(run, "a long, b long, o long, na long, nb long, rest array<long>")
+    return pairs.join(b, "b").join(a, "a").select("a", "b", "text_a", "text_b").mapInArrow(run, "a long, b long, na long, n long, delta array<long>")
 
 
 def _rest(members: DataFrame, texts: DataFrame, shingle: int, percent: int) -> DataFrame:
     """The links between different labels within a bucket, without comparing all with all.
 
-    With p the pivot of a bucket, two members x and y have in common what both share with p, at most the smaller of
-    their overlaps with p, and what both have besides p.  So a link needs a shingle besides p that both have, which an
-    index over those shingles finds, with the number of them, or overlaps with p that are large enough alone; and one
-    of the two is not of p's label.  The index holds shingles that several labels have, of members whose overlap with p
-    and number of such shingles together could reach the threshold with the smallest of the bucket.  Shingles that the
-    same members have are one entry with a weight.  A member that needs r of them keeps all but the most common ones of
-    weight r - 1 at most: what it shares can't be among those alone; their weight is added to what a pair may share."""
-    cells = members.join(_best(members), "bucket").select("pivot", "pivot_label", "id", "label").distinct()
-    cells = written(cells, "cells")
-    seen = written(_overlaps(cells.filter("id != pivot").select(F.col("pivot").alias("a"), F.col("id").alias("b")), texts, shingle), "overlaps")
-    need = lambda o, n: (100 + percent) * o >= percent * n
-    direct = seen.filter(need(F.col("o"), F.col("na") + F.col("nb"))).select("a", "b")
-    own = cells.join(seen.withColumnsRenamed({"a": "pivot", "b": "id", "nb": "n"}), ["pivot", "id"])
-    own = written(own.select("pivot", "id", "label", (F.col("label") != F.col("pivot_label")).alias("apart"), "n", "o", "rest"), "besides")
-    side = lambda df, x: df.select("pivot", *([c for c in ("h",) if c in df.columns]), *[F.col(c).alias(c + x) for c in ("id", "label", "n", "o", "apart")])
-    differ = (F.col("label1") != F.col("label2")) & (~F.col("apart2") | (F.col("id1") < F.col("id2")))
-    low = own.groupBy("pivot").agg(F.min("n").alias("low"), F.bool_or("apart").alias("some")).filter("some").select("pivot", "low")
-    near = own.drop("rest").join(low, "pivot").filter(need(F.col("o"), F.col("n") + F.col("low"))).drop("low")
-    alike = side(near.filter("apart"), "1").join(side(near, "2"), "pivot").filter(differ & need(F.least("o1", "o2"), F.col("n1") + F.col("n2")))
-    each = own.join(low.select("pivot"), "pivot", "left_semi").withColumn("h", F.explode("rest")).drop("rest")
-    mixed = written(each.groupBy("pivot", "h").agg(F.min("label").alias("one"), F.max("label").alias("other")).filter("one < other").select("pivot", "h"), "mixed")
-    each = written(each.join(mixed, ["pivot", "h"]), "index")
-    enough = each.groupBy("pivot", "id", "n", "o").agg(F.count("*").alias("c")).join(low.select("pivot", "low"), "pivot").filter(need(F.col("o") + F.col("c"), F.col("n") + F.col("low")))
-    each = written(each.join(enough.select("pivot", "id"), ["pivot", "id"]), "index")
-    lists = each.groupBy("pivot", "h").agg(F.bit_xor(F.xxhash64("id")).alias("list"), F.count("*").alias("long"))
-    lists = each.join(lists, ["pivot", "h"]).groupBy("pivot", "list", "id", "label", "apart", "n", "o").agg(F.count("*").alias("w"), F.max("long").alias("long"))
-    common = Window.partitionBy("pivot", "id").orderBy(F.desc("long"), "list").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    spare = F.ceil(percent * (F.col("n") + F.col("low")) / (100 + percent)) - F.col("o") - 1
-    lists = written(lists.join(low.select("pivot", "low"), "pivot").withColumn("run", F.sum("w").over(common)).withColumn("spare", F.greatest(F.lit(0), spare)), "lists")
-    left_out = lists.filter(F.col("run") <= F.col("spare")).groupBy("pivot", "id").agg(F.sum("w").alias("out"))
-    one = lists.filter("apart and run > spare").join(left_out, ["pivot", "id"], "left").select("pivot", "list", F.col("id").alias("id1"), F.col("label").alias("label1"), F.col("n").alias("n1"), F.col("o").alias("o1"), F.col("w").alias("w1"), F.coalesce("out", F.lit(0)).alias("out"))
-    two = lists.select("pivot", "list", F.col("id").alias("id2"), F.col("label").alias("label2"), F.col("n").alias("n2"), F.col("o").alias("o2"), F.col("w").alias("w2"))
-    both = one.join(two, ["pivot", "list"]).filter(F.col("label1") != F.col("label2"))
-    both = both.groupBy("pivot", "id1", "id2", "n1", "n2", "o1", "o2", "out").agg(F.sum(F.least("w1", "w2")).alias("k")).filter(need(F.least("o1", "o2") + F.col("k") + F.col("out"), F.col("n1") + F.col("n2")))
-    pairs = alike.select(F.col("id1").alias("a"), F.col("id2").alias("b")).unionByName(both.select(F.col("id1").alias("a"), F.col("id2").alias("b")))
-    pairs = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    Let p be a pivot, delta(x) the shingles that either x or p has, d(x) their number and n(x) the size of x's set.  Two
+    members differ in d(x) + d(y) - 2 c shingles, where c = |delta(x) & delta(y)|.  So, with f = (100 + percent) d -
+    (100 - percent) n, they are linked if and only if 2 (100 + percent) c >= f(x) + f(y).  One of the two is not of p's
+    label; if it isn't linked to p, that number is above 0, and a linked pair always shares part of delta.  Links to p
+    itself are taken from d directly.
+
+    As c <= d(y), x has partners only with f(y) >= f(x) - 2 (100 - percent) n(y), and none beyond n(x) 100 / percent;
+    with the least f and largest n under the pivot that gives the c that x `needs` at least.  Now let each member order
+    its delta from the commonest to the rarest and leave out the first needs - 1: whichever pair shares c of them still
+    meets at the rarest.  Shingles that the same members have are one entry with a weight, so that an edit of many
+    shingles counts once."""
+    p = percent
+    cells = written(_cells(members), "cells")
+    seen = written(_differences(cells.select(F.col("pivot").alias("a"), F.col("id").alias("b")).distinct(), texts, shingle), "differences")
+    d = F.size("delta").cast("long")
+    direct = seen.filter((100 + p) * d <= (100 - p) * (F.col("na") + F.col("n"))).select("a", "b")
+    own = cells.join(seen.withColumnsRenamed({"a": "pivot", "b": "id"}), ["pivot", "id"])
+    own = own.select("pivot", "id", "label", (F.col("label") != F.col("pivot_label")).alias("apart"), "n", d.alias("d"), ((100 + p) * d - (100 - p) * F.col("n")).alias("f"), "delta")
+    apart = lambda c: F.when(F.col("apart"), F.col(c))
+    bounds = own.groupBy("pivot").agg(F.min("f").alias("low"), F.max("n").alias("high"), F.min(apart("f")).alias("low_apart"), F.max(apart("n")).alias("high_apart")).filter("low_apart is not null")
+    own = own.join(bounds, "pivot")
+    low, high = (F.when(F.col("apart"), F.col(c)).otherwise(F.col(f"{c}_apart")) for c in ("low", "high"))
+    partner = F.greatest(low, F.col("f") - 2 * (100 - p) * F.least(high, F.floor(100 * F.col("n") / p)))
+    own = own.withColumn("needs", F.greatest(F.lit(1), F.ceil((F.col("f") + partner) / (2 * (100 + p))))).filter("needs <= d")
+    live = written(own.select("pivot", "id", F.struct("label", "apart", "n", "d", "f", "needs").alias("m"), "delta"), "live")
+    each = live.select("pivot", "id", "m", F.explode("delta").alias("h"))
+    index = each.groupBy("pivot", "h").agg(F.min("m.label").alias("one"), F.max("m.label").alias("other"), F.bit_xor(F.xxhash64("id")).alias("entry"), F.count("*").alias("common"))
+    index = written(index.filter("one < other").select("pivot", "h", "entry", "common"), "index")
+    entries = each.join(index, ["pivot", "h"]).groupBy("pivot", "id", "entry").agg(F.first("m").alias("m"), F.count("*").alias("w"), F.max("common").alias("common"))
+    of = Window.partitionBy("pivot", "id")
+    passed = F.sum("w").over(of.orderBy(F.desc("common"), "entry").rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    kept = written(entries.withColumn("passed", passed).withColumn("whole", F.sum("w").over(of)).filter("whole >= m.needs and passed >= m.needs").select("pivot", "entry", "id", "m"), "prefixes")
+    x, y = (kept.select("pivot", "entry", F.col("id").alias(f"id_{c}"), F.col("m").alias(c)) for c in "xy")
+    once = (F.col("x.label") != F.col("y.label")) & (~F.col("y.apart") | (F.col("id_x") < F.col("id_y")))
+    reach = (F.col("x.f") + F.col("y.f") <= 2 * (100 + p) * F.least("x.d", "y.d")) & (p * F.greatest("x.n", "y.n") <= 100 * F.least("x.n", "y.n"))
+    met = x.filter("x.apart").join(y, ["pivot", "entry"]).filter(once & reach)
+    pairs = met.select(F.least("id_x", "id_y").alias("a"), F.greatest("id_x", "id_y").alias("b")).distinct()
     return _linked(pairs, texts, shingle, percent).unionByName(direct)
 
 
@@ -314,5 +362,6 @@ def op8_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pipeline stage: of each group of near-duplicates (five-word shingles, 0.8) the smallest id stays."""
-    gone = near_duplicates(docs).filter("id != component").select(F.col("id").alias("__gone")).distinct()
-    return docs.join(gone, docs["doc_id"] == F.col("__gone"), "left_anti")
+    own = fresh(docs, "gone")
+    gone = near_duplicates(docs).filter("id != component").select(F.col("id").alias(own)).distinct()
+    return docs.join(gone, F.col("doc_id").cast("long") == F.col(own), "left_anti")
