@@ -6,9 +6,8 @@ a line of any frequency reaches its task as one sketch a partition.  Where the e
 threshold it decides; within BAND of it the distinct sites are counted exactly.  Lines of at least `min_sites` sites
 are then cut from the documents.
 
-Some documents are left whole.  With `proven`, as in the pipeline, these are the copies spread over sites, for
-near-duplicate removal to deal with: documents whose whole text stands on min_sites sites or more, counted like a line.
-Without it, as in op5 and its SQL, they are those of which more than `max_share` of the characters would go.
+Left whole are only the proven copies, which are for near-duplicate removal to deal with: documents whose whole text
+stands on min_sites sites or more, counted like a line.
 
 Defined results: null text has no lines and stays null; a null site is one site of its own; rows that share id and
 text get the same result; a document keeps its other lines as they are, also its empty ones; other columns are not
@@ -19,19 +18,19 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from millrace.llm._shared import table, written
+from millrace.llm._shared import fresh, table, written
 
-MIN_SITES, MAX_SHARE = 10, 0.5
+MIN_SITES = 10
 #: Sketch precision: 2**12 registers, a standard error of 1.6 %; BAND is over ten times that.
 LG_K, BAND = 12, 0.2
 _BLANKS = " \t\r"
 
 
 def lines(rows: DataFrame) -> DataFrame:
-    """rows(id, text, site) -> id, th, site, no, size, h and g (96 bits of hash) of each line that isn't empty."""
+    """rows(id, text, site) -> id, th, site, no, h and g (96 bits of hash) of each line that isn't empty."""
     every = rows.select("id", F.xxhash64("text").alias("th"), F.coalesce("site", F.lit("")).alias("site"), F.posexplode(F.split("text", "\n")).alias("no", "line"))
     line = F.btrim("line", F.lit(_BLANKS))
-    return every.filter(F.length(line) > 0).select("id", "th", "site", "no", F.length("line").alias("size"), F.xxhash64(line).alias("h"), F.hash(line).alias("g"))
+    return every.filter(F.length(line) > 0).select("id", "th", "site", "no", F.xxhash64(line).alias("h"), F.hash(line).alias("g"))
 
 
 def boilerplate(found: DataFrame, min_sites: int) -> DataFrame:
@@ -46,12 +45,10 @@ def boilerplate(found: DataFrame, min_sites: int) -> DataFrame:
 
 
 def cuts(rows: DataFrame, min_sites: int = MIN_SITES) -> DataFrame:
-    """rows(id, text, site) -> id, th, gone (numbers of the lines that are boilerplate), gone_chars, for documents that
-    have some."""
+    """rows(id, text, site) -> id, th, gone (numbers of the lines that are boilerplate), for documents that have some."""
     found = lines(rows)
     hit = found.join(boilerplate(found, min_sites), ["h", "g"])
-    one = hit.groupBy("id", "th", "no").agg(F.first("size").alias("size"))
-    return one.groupBy("id", "th").agg(F.collect_list("no").alias("gone"), F.sum("size").alias("gone_chars"))
+    return hit.select("id", "th", "no").distinct().groupBy("id", "th").agg(F.collect_list("no").alias("gone"))
 
 
 def copies(rows: DataFrame, min_sites: int) -> DataFrame:
@@ -59,28 +56,29 @@ def copies(rows: DataFrame, min_sites: int) -> DataFrame:
     return boilerplate(rows.select(F.coalesce("site", F.lit("")).alias("site"), F.xxhash64("text").alias("h"), F.hash("text").alias("g")), min_sites)
 
 
-def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", site_col: str = "source", min_sites: int = MIN_SITES, max_share: float = MAX_SHARE, proven: bool = False) -> DataFrame:
-    """docs and __text (without boilerplate), __n_lines, __n_removed, __whole (left whole though it has boilerplate)."""
+def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", site_col: str = "source", min_sites: int = MIN_SITES, names: tuple[str, ...] = ("__text", "__n_lines", "__n_removed", "__whole")) -> DataFrame:
+    """docs and, under `names`, the text without boilerplate, the number of its lines, that of the lines removed, and
+    whether it was left whole though it has boilerplate."""
+    new_text, n_lines, n_removed, whole = names
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"), F.col(site_col).cast("string").alias("site"))
-    gone = cuts(rows.filter(F.col("text").isNotNull()), min_sites).select(F.col("id").alias("__id"), F.col("th").alias("__th"), F.col("gone").alias("__gone"), F.col("gone_chars").alias("__chars"))
+    rows = rows.filter(F.col("text").isNotNull())
+    own, other, same_id, th, gone, h, g = fresh(docs, "own_hash", "own_other_hash", "cut_id", "cut_hash", "cut_lines", "copy_hash", "copy_other_hash")
     text = F.col(text_col).cast("string")
-    out = docs.withColumn("__own", F.xxhash64(text))
-    out = out.join(gone, (F.col("__own") == F.col("__th")) & F.col(id_col).eqNullSafe(F.col("__id")), "left")
-    if proven:
-        spread = copies(rows.filter(F.col("text").isNotNull()), min_sites).select(F.col("h").alias("__h"), F.col("g").alias("__g"))
-        out = out.join(spread, (F.col("__own") == F.col("__h")) & (F.hash(text) == F.col("__g")), "left")
-        whole = F.col("__gone").isNotNull() & F.col("__h").isNotNull()
-    else:
-        whole = F.coalesce(F.col("__chars") > F.length(text) * max_share, F.lit(False))
-    cut = F.col("__gone").isNotNull() & ~whole
-    kept = F.array_join(F.filter(F.split(text, "\n"), lambda x, i: ~F.array_contains(F.col("__gone"), i)), "\n")
-    n_lines = F.size(F.filter(F.split(F.coalesce(text, F.lit("")), "\n"), lambda x: F.length(F.btrim(x, F.lit(_BLANKS))) > 0))
+    out = docs.withColumns({own: F.xxhash64(text), other: F.hash(text)})
+    found = cuts(rows, min_sites).select(F.col("id").alias(same_id), F.col("th").alias(th), F.col("gone").alias(gone))
+    out = out.join(found, (F.col(own) == F.col(th)) & F.col(id_col).eqNullSafe(F.col(same_id)), "left")
+    spread = copies(rows, min_sites).select(F.col("h").alias(h), F.col("g").alias(g))
+    out = out.join(spread, (F.col(own) == F.col(h)) & (F.col(other) == F.col(g)), "left")
+    left = F.col(gone).isNotNull() & F.col(h).isNotNull()
+    cut = F.col(gone).isNotNull() & ~left
+    kept = F.array_join(F.filter(F.split(text, "\n"), lambda x, i: ~F.array_contains(F.col(gone), i)), "\n")
+    lines_of = F.size(F.filter(F.split(F.coalesce(text, F.lit("")), "\n"), lambda x: F.length(F.btrim(x, F.lit(_BLANKS))) > 0))
     return out.select(
-        *[docs[c] for c in docs.columns],
-        F.when(cut, kept).otherwise(text).alias("__text"),
-        n_lines.cast("long").alias("__n_lines"),
-        F.when(cut, F.size("__gone")).otherwise(0).cast("long").alias("__n_removed"),
-        whole.alias("__whole"),
+        *[F.col(f"`{c}`") for c in docs.columns],
+        F.when(cut, kept).otherwise(text).alias(new_text),
+        lines_of.cast("long").alias(n_lines),
+        F.when(cut, F.size(gone)).otherwise(0).cast("long").alias(n_removed),
+        left.alias(whole),
     )
 
 
@@ -95,25 +93,25 @@ lines AS (
   SELECT doc_id, site, unnest(string_split(text, chr(10))) AS raw, generate_subscripts(string_split(text, chr(10)), 1) AS no
   FROM rows WHERE text IS NOT NULL
 ),
-stripped AS (SELECT doc_id, site, no, length(raw) AS size, trim(raw, ' ' || chr(9) || chr(13)) AS line FROM lines),
+stripped AS (SELECT doc_id, site, no, raw, trim(raw, ' ' || chr(9) || chr(13)) AS line FROM lines),
 common AS (SELECT line FROM stripped WHERE line <> '' GROUP BY line HAVING count(DISTINCT site) >= {MIN_SITES}),
-gone AS (
-  SELECT doc_id, list(no) AS nos, sum(size) AS chars, count(*) AS n FROM stripped SEMI JOIN common USING (line) GROUP BY doc_id
-),
-counts AS (SELECT doc_id, count(*) FILTER (line <> '') AS n_lines FROM stripped GROUP BY doc_id)
-SELECT r.doc_id, coalesce(c.n_lines, 0)::BIGINT AS n_lines,
-  CASE WHEN g.chars <= length(r.text) * {MAX_SHARE} THEN g.n ELSE 0 END::BIGINT AS n_removed,
-  coalesce(g.chars > length(r.text) * {MAX_SHARE}, false) AS left_whole,
-  sha256(CASE WHEN g.chars <= length(r.text) * {MAX_SHARE}
-    THEN coalesce((SELECT string_agg(l.raw, chr(10) ORDER BY l.no) FROM lines l WHERE l.doc_id = r.doc_id AND NOT list_contains(g.nos, l.no)), '')
-    ELSE coalesce(r.text, '') END) AS kept_sha256
-FROM rows r LEFT JOIN gone g USING (doc_id) LEFT JOIN counts c USING (doc_id)
+copies AS (SELECT text FROM rows WHERE text IS NOT NULL GROUP BY text HAVING count(DISTINCT site) >= {MIN_SITES}),
+marked AS (SELECT s.*, c.line IS NOT NULL AS gone FROM stripped s LEFT JOIN common c USING (line)),
+cut AS (
+  SELECT doc_id, count(*) FILTER (line <> '') AS n_lines, count(*) FILTER (gone) AS n, coalesce(string_agg(raw, chr(10) ORDER BY no) FILTER (NOT gone), '') AS kept
+  FROM marked GROUP BY doc_id
+)
+SELECT r.doc_id, coalesce(c.n_lines, 0)::BIGINT AS n_lines, CASE WHEN p.text IS NULL THEN coalesce(c.n, 0) ELSE 0 END::BIGINT AS n_removed,
+  p.text IS NOT NULL AND coalesce(c.n, 0) > 0 AS left_whole, sha256(CASE WHEN p.text IS NULL THEN coalesce(c.kept, '') ELSE r.text END) AS kept_sha256
+FROM rows r LEFT JOIN cut c USING (doc_id) LEFT JOIN copies p ON r.text = p.text
 """
 
 
 def without_boilerplate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pipeline stage: every document stays, without the lines that are boilerplate unless it is proven to be a copy;
     n_chars follows."""
-    found = line_dedup(docs, proven=True)
-    new = {"text": F.col("__text").alias("text"), "n_chars": F.when(F.col("__n_removed") > 0, F.length("__text").cast("long")).otherwise(F.col("n_chars")).alias("n_chars")}
+    names = fresh(docs, "text_left", "n_lines", "n_removed", "left_whole")
+    found = line_dedup(docs, names=tuple(names))
+    text, _, removed, _ = (F.col(c) for c in names)
+    new = {"text": text.alias("text"), "n_chars": F.when(removed > 0, F.length(text).cast("long")).otherwise(F.col("n_chars")).alias("n_chars")}
     return found.select(*[new.get(c, F.col(f"`{c}`")) for c in docs.columns])
