@@ -4,7 +4,8 @@ document is scanned once; hits are mapped back to offsets in the original text.
 Words are the runs of `[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]` after A-Z are lower-cased.  A window is `width`
 consecutive words of an item; an item of fewer words, but not none, is one window.  The automaton goes to the executors
 only while its texts are under SHARD_BYTES; a larger benchmark is cut into shards of that size, each scanned in turn,
-whose hits are added up, so that no hit is lost and no task holds more than one shard.
+whose hits are added up, so that no hit is lost and no task holds more than one shard.  Hits of several shards belong to
+an id and text, not to an id alone, so that every row has its own hits, however many shards there are.
 
 Defined results: null or empty text has no words and no hits; null or wordless texts of items give no window;
 windows of an item without an id hit words, but add no item; repeated items and documents are each counted by their
@@ -21,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from millrace.llm._shared import slices, table, written
+from millrace.llm._shared import fresh, slices, table, written
 
 WIDTH = 10
 SHARD_BYTES = 16 << 20
@@ -103,9 +104,9 @@ def shards(benchmark: DataFrame, item_col: str, text_col: str) -> Iterator[list[
 
 
 def _scanned(docs: DataFrame, items: list[tuple[int | None, str]], width: int) -> DataFrame:
-    """docs(id, text) and n_words, ranges, spans, items."""
+    """docs(id, key, text) -> id, key, n_words, ranges, spans, items."""
     sent = docs.sparkSession.sparkContext.broadcast(items)
-    schema = "id long, n_words long, ranges array<struct<first:long,end:long>>, spans array<struct<first:long,end:long>>, items array<long>"
+    schema = "id long, key string, n_words long, ranges array<struct<first:long,end:long>>, spans array<struct<first:long,end:long>>, items array<long>"
     pairs = pa.list_(pa.struct([("first", pa.int64()), ("end", pa.int64())]))
 
     def run(batches):
@@ -119,8 +120,8 @@ def _scanned(docs: DataFrame, items: list[tuple[int | None, str]], width: int) -
                 spans.append([{"first": a, "end": b} for a, b in original_spans(text, hit)] if hit else [])
                 ids.append(sorted(own))
             yield pa.RecordBatch.from_arrays(
-                [batch.column("id"), pa.array(counts, pa.int64()), pa.array(ranges, pairs), pa.array(spans, pairs), pa.array(ids, pa.list_(pa.int64()))],
-                names=["id", "n_words", "ranges", "spans", "items"],
+                [batch.column("id"), batch.column("key"), pa.array(counts, pa.int64()), pa.array(ranges, pairs), pa.array(spans, pairs), pa.array(ids, pa.list_(pa.int64()))],
+                names=["id", "key", "n_words", "ranges", "spans", "items"],
             )
 
     return docs.mapInArrow(run, schema)
@@ -140,28 +141,30 @@ def _n_covered(ranges):
     )
 
 
-def decontaminate(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", width: int = WIDTH) -> DataFrame:
+def _key(text):
+    """What stands for a text where hits are joined back to their rows."""
+    return F.sha2(F.coalesce(text.cast("string"), F.lit("")).cast("binary"), 256)
+
+
+def decontaminate(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", width: int = WIDTH, keyed: bool = False) -> DataFrame:
     """One row for each document: id, n_words, n_hit, ranges (of hit words), spans (of code points of the original),
-    items (sorted ids).  With several shards, rows that share an id are taken for one document."""
+    items (sorted ids); with `keyed` also key, the digest of the text."""
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
-    parts = [_scanned(rows, items, width) for items in shards(benchmark, item_col, item_text_col)]
-    if len(parts) == 1:
-        found = parts[0]
-    else:
-        every = parts[0]
-        for p in parts[1:]:
-            every = every.unionByName(p)
-        found = (
-            written(every, "hits")
-            .groupBy("id")
-            .agg(
-                F.max("n_words").alias("n_words"),
-                F.array_sort(F.array_distinct(F.flatten(F.collect_list("ranges")))).alias("ranges"),
-                F.array_sort(F.array_distinct(F.flatten(F.collect_list("spans")))).alias("spans"),
-                F.array_distinct(F.flatten(F.collect_list("items"))).alias("items"),
-            )
-        )
-    return found.withColumn("n_hit", _n_covered(F.col("ranges")))
+    first, *more = shards(benchmark, item_col, item_text_col)
+    rows = rows.select("id", (_key(F.col("text")) if more or keyed else F.lit("")).alias("key"), "text")
+    found = _scanned(rows, first, width)
+    lists = ["ranges", "spans", "items"]
+    if more:
+        every = None
+        for i, items in enumerate(more):
+            one = _scanned(rows, items, width).filter(F.size("ranges") > 0).select("id", "key", F.lit(i).alias("shard"), *lists)
+            every = one if every is None else every.unionByName(one)
+        once = written(every, "hits").groupBy("id", "key", "shard").agg(*[F.first(c).alias(c) for c in lists])  # rows with equal ids and texts have equal hits
+        added = once.groupBy(F.col("id").alias("of"), F.col("key").alias("of_key")).agg(*[F.flatten(F.collect_list(c)).alias(f"more_{c}") for c in lists])
+        found = found.join(added, F.col("id").eqNullSafe(F.col("of")) & (F.col("key") == F.col("of_key")), "left")
+        both = {c: F.when(F.col("of_key").isNull(), F.col(c)).otherwise(F.array_sort(F.array_distinct(F.concat(c, f"more_{c}")))).alias(c) for c in lists}
+        found = found.select("id", "key", "n_words", *both.values())
+    return found.withColumn("n_hit", _n_covered(F.col("ranges"))).drop(*([] if keyed else ["key"]))
 
 
 def op9_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -178,6 +181,9 @@ def op9_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def clean(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pipeline stage: documents without any benchmark window, all columns kept.  Rows without an id are kept."""
-    hit = decontaminate(docs, table(spark, sf_dir, "benchmark")).filter(F.col("n_hit") > 0).select(F.col("id").alias("__hit"))
-    return docs.join(hit, docs["doc_id"] == F.col("__hit"), "left_anti")
+    """Pipeline stage: documents without any benchmark window, all columns kept; judged row by row, also where ids are
+    missing or repeated."""
+    of, key = fresh(docs, "hit_id", "hit_key")
+    hit = decontaminate(docs, table(spark, sf_dir, "benchmark"), keyed=True).filter(F.col("n_hit") > 0)
+    hit = hit.select(F.col("id").alias(of), F.col("key").alias(key)).distinct()
+    return docs.join(hit, F.col("doc_id").cast("long").eqNullSafe(F.col(of)) & (_key(F.col("text")) == F.col(key)), "left_anti")
