@@ -21,11 +21,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir.  Only where it is unset (tests on one
-    machine) a temporary folder is made and set."""
+    """The folder that driver and executors share: spark.checkpoint.dir.  Only where it is unset and all run on one
+    machine (tests) a temporary folder is made and set."""
     at = spark.conf.get("spark.checkpoint.dir", None)
     if not at:
         at = spark.sparkContext.getCheckpointDir()
+    if not at and not spark.sparkContext.master.startswith("local"):
+        raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
     if not at:
         at = "file://" + tempfile.mkdtemp(prefix="millrace-")
         spark.sparkContext.setCheckpointDir(at)
@@ -82,8 +84,3 @@ def fresh(df: DataFrame, *names: str):
         taken.add(name.lower())
         made.append(name)
     return made if len(made) > 1 else made[0]
-
-
-def sha_hex(col):
-    """Lowercase hex SHA-256 of a string column's UTF-8."""
-    return F.sha2(col.cast("binary"), 256)

@@ -26,13 +26,15 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from millrace.llm import _words
-from millrace.llm._shared import slices, table, written
+from millrace.llm._shared import fresh, slices, table, written
 
 BUCKETS, DIM = 1 << 15, 16
 SAMPLE, EACH, LONGEST = 2048, 8, 20_000
 EPOCHS, BATCH, RATE = 6, 32, 0.5
 REJECTED, LIKELY = 0.001, 0.5
 UNKNOWN = "und"
+#: Bytes of text that a task unfolds into subwords at a time, at some 150 bytes each.
+SLICE = 1 << 19
 
 _FOLD = np.array([c + 32 if 65 <= c <= 90 else c if 97 <= c <= 122 or c >= 128 else 32 for c in range(256)], np.uint8)
 
@@ -137,7 +139,8 @@ def train(texts: list[str], labels: list[str], seed: int = 7) -> Model:
 
 
 def sample(docs: DataFrame, size: int = SAMPLE) -> list[tuple[str, str]]:
-    """(text, lang) rows, about `size` or EACH a language, shared evenly by the languages of docs(id, text, lang)."""
+    """(text, lang) rows, about `size` or EACH a language, shared evenly by the languages of docs(id, text, lang); in
+    the order of their draw, so that a model doesn't depend on how the rows are stored."""
     known = docs.filter(F.col("lang").isNotNull() & (F.length("text") > 0))
     known = known.withColumn("drawn", F.pmod(F.xxhash64("id", "text"), F.lit(1 << 40)) / float(1 << 40))
     counts = written(known.groupBy("lang").agg(F.count("*").alias("n"), F.min("drawn").alias("least")), "langs")
@@ -148,30 +151,33 @@ def sample(docs: DataFrame, size: int = SAMPLE) -> list[tuple[str, str]]:
     longest = max(1, int(LONGEST * size / (share * n)))
     limits = counts.select(F.col("lang").alias("of"), "least", (share / F.col("n")).alias("limit"))
     some = known.join(F.broadcast(limits), F.col("lang") == F.col("of")).filter((F.col("drawn") < F.col("limit")) | (F.col("drawn") == F.col("least")))
-    return [(r["text"], r["lang"]) for r in some.select(F.substring("text", 1, longest).alias("text"), "lang").collect()]
+    got = [(r["drawn"], r["lang"], r["text"]) for r in some.select("drawn", F.substring("text", 1, longest).alias("text"), "lang").collect()]
+    return [(text, lang) for _, lang, text in sorted(got)]
 
 
 def has_letter(text: str | None) -> bool:
     return bool(text) and any(map(str.isalpha, text))
 
 
-def identify(docs: DataFrame, model: Model | None, text_col: str = "text") -> DataFrame:
-    """docs and __lang, __score, __rejected."""
+def identify(docs: DataFrame, model: Model | None, text_col: str = "text", names: tuple[str, str, str] = ("__lang", "__score", "__rejected")) -> DataFrame:
+    """docs and, under `names`, the language, its score and whether it is rejected."""
     from pyspark.sql.types import StructType
 
     sent = docs.sparkSession.sparkContext.broadcast(model)
-    schema = StructType.fromJson(docs.schema.jsonValue()).add("__lang", "string").add("__score", "double").add("__rejected", "boolean")
+    schema = StructType.fromJson(docs.schema.jsonValue())
+    for name, kind in zip(names, ("string", "double", "boolean"), strict=True):
+        schema = schema.add(name, kind)
 
     def run(batches):
         m = sent.value
-        for batch in slices(batches, text_col):
+        for batch in slices(batches, text_col, SLICE):
             texts = batch.column(text_col)
             p = m.scores(texts) if m else np.zeros((batch.num_rows, 1))
             ok = np.array([has_letter(t) for t in texts.to_pylist()], bool) & (m is not None)
             score = np.where(ok, p.max(axis=1), 0.0)
             lang = [m.langs[j] if k else UNKNOWN for j, k in zip(p.argmax(axis=1), ok)] if m else [UNKNOWN] * batch.num_rows
             no = ~ok | (score < (m.threshold if m else 0))
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(lang, pa.string()), pa.array(score, pa.float64()), pa.array(no)], names=[*batch.schema.names, "__lang", "__score", "__rejected"])
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(lang, pa.string()), pa.array(score, pa.float64()), pa.array(no)], names=[*batch.schema.names, *names])
 
     return docs.mapInArrow(run, schema)
 
@@ -195,5 +201,6 @@ def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def accepted(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pipeline stage: documents whose language is known, all columns kept; a missing lang is filled in."""
-    found = identify(docs, learned(docs)).filter("not __rejected")
-    return found.select(*[F.coalesce("lang", "__lang").alias("lang") if c == "lang" else F.col(f"`{c}`") for c in docs.columns])
+    lang, score, rejected = fresh(docs, "lang_found", "score_found", "rejected")
+    found = identify(docs, learned(docs), names=(lang, score, rejected)).filter(~F.col(rejected))
+    return found.select(*[F.coalesce("lang", lang).alias("lang") if c == "lang" else F.col(f"`{c}`") for c in docs.columns])

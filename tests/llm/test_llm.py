@@ -323,7 +323,29 @@ def test_line_dedup(spark):
     assert got[0].__getitem__("__text") == "own line 0\nmore 0\n\nnear miss" and got[0]["__n_removed"] == 1 and got[0]["__n_lines"] == 4
     assert got[20]["__text"] == "own line 20\nmore 20"
     assert got[100]["__whole"] and got[100]["__text"] == "copied text one\ncopied text two"
-    assert got[200]["__text"] is None and got[201]["__text"] == "" and got[202]["__whole"]
+    assert got[200]["__text"] is None and got[201]["__text"] == ""
+    assert got[202]["__text"] == "" and not got[202]["__whole"]  # boilerplate alone, but its text is on one site
+
+
+def test_stages_take_columns_of_any_name(spark, tmp_path):
+    names = ["__text", "__n_lines", "__n_removed", "__whole", "__lang", "__score", "__rejected", "__gone", "__hit", "__own", "__id", "gone", "hit_id", "hit_key", "own_hash", "rejected", "LANG_FOUND", "n_lines", "text_left", "component", "h"]
+    rows = spark.createDataFrame([(i, f"menu of all\ntext number {i} of its own kind", "en", f"s{i}", 9) for i in range(12)] + [(None, None, None, None, None)], "doc_id long, text string, lang string, source string, n_chars long")
+    rows = rows.withColumns({n: F.lit(7) for n in names})
+    folder = write_tables(spark, tmp_path, documents=rows, benchmark=spark.createDataFrame([(1, "number 3")], "item_id long, text string"))
+    for stage, n in ((language_id.accepted, 12), (line_dedup.without_boilerplate, 13), (near_duplicates.one_of_each, 13), (decontaminate.clean, 12)):
+        left = stage(spark, rows, folder)
+        assert left.columns == rows.columns and left.count() == n
+        assert all(r[c] == 7 for r in left.collect() for c in names)
+    assert {r.text for r in line_dedup.without_boilerplate(spark, rows, folder).collect()} == {None, *(f"text number {i} of its own kind" for i in range(12))}
+
+
+def test_op5_corners(spark, tmp_path):
+    schema = "doc_id long, text string, source string"
+    none = write_tables(spark, tmp_path / "e", documents=spark.createDataFrame([], schema))
+    assert line_dedup.op5_line_dedup(spark, none).count() == 0
+    rows = [(None, "foot\nmine", f"s{i}") for i in range(9)] + [(5, "foot\nmine", "s1"), (5, "foot\nmine", "s1"), (5, "foot\nother", "t9"), (6, "foot\n" + "y" * (3 << 20), "s2")]
+    got = line_dedup.op5_line_dedup(spark, write_tables(spark, tmp_path, documents=spark.createDataFrame(rows, schema))).collect()
+    assert sorted((r.doc_id or 0, r.n_removed, r.kept_sha256) for r in got) == sorted([(0, 1, sha("mine"))] * 9 + [(5, 1, sha("mine"))] * 2 + [(5, 1, sha("other")), (6, 1, sha("y" * (3 << 20)))])
 
 
 def test_line_counts_are_exact_at_the_threshold(spark):
@@ -441,6 +463,16 @@ def test_every_language_is_in_the_sample_and_learned(spark):
         assert m.scores(pa.array(["schein verung"]))[0].argmax() == 1
 
 
+def test_scores_do_not_depend_on_how_rows_are_stored(spark, tmp_path):
+    rng = random.Random(12)
+    rows = spark.createDataFrame([(i, speech(rng, lang := rng.choice(["aa", "bb", "cc"])), lang) for i in range(300)], "doc_id long, text string, lang string")
+    scores = []
+    for k, some in enumerate((rows.orderBy("doc_id").coalesce(1), rows.repartition(5, "text"))):
+        folder = write_tables(spark, tmp_path / str(k), documents=some)
+        scores.append({r.doc_id: (r.lang_pred, r.score) for r in language_id.op7_language_id(spark, folder).collect()})
+    assert scores[0] == scores[1]
+
+
 def test_a_prediction_depends_on_its_text_alone():
     m = language_id.train(["kako tikomu"] * 20 + ["schein verung"] * 20, ["aa"] * 20 + ["bb"] * 20)
     many = m.scores(pa.array(["kako", "schein ung", "", "mukati"]))
@@ -529,6 +561,41 @@ def test_a_large_group_with_distant_copies(spark):
     assert got == brute_groups(list(enumerate(texts)), 4, 80)
 
 
+def test_a_large_group_of_families_against_brute_force(spark):
+    """Near and distant copies of one text, copies of these, and pieces of it, by five-word shingles."""
+    rng = random.Random(14)
+    base = [f"w{rng.randrange(10**6)}" for _ in range(120)]
+
+    def edited(v, n):
+        v = list(v)
+        for j in rng.sample(range(len(v)), min(n, len(v))):
+            v[j] = rng.choice(["pool", f"new{rng.randrange(10**6)}"])
+        return v
+
+    made = [edited(base, rng.randrange(3)) for _ in range(900)] + [edited(base, rng.randrange(3, 7)) for _ in range(500)]
+    made += [edited(rng.choice(made[900:]), rng.randrange(1, 3)) for _ in range(400)]
+    made += [base[(a := rng.randrange(60)) : a + rng.randrange(40, 60)] + ["tail"] * rng.randrange(2) for _ in range(200)]
+    texts = [" ".join(v) for v in made]
+    sets = [{tuple(v[i : i + 5]) for i in range(max(1, len(v) - 4))} for v in made]
+    number: dict = {}
+    for one in sets:
+        for x in one:
+            number.setdefault(x, len(number))
+    has = np.zeros((len(sets), len(number)), np.float32)
+    for i, one in enumerate(sets):
+        has[i, [number[x] for x in one]] = 1
+    both, sizes = has @ has.T, has.sum(axis=1)
+    linked = 100 * both >= 80 * (sizes[:, None] + sizes[None, :] - both)
+    label = np.arange(len(sets))
+    while True:
+        low = np.where(linked, label[None, :], len(sets)).min(axis=1)
+        if (low == label).all():
+            break
+        label = low
+    got = {r.id: r.component for r in near_duplicates.near_duplicates(docs(spark, texts)).collect()}
+    assert [got[i] for i in range(len(texts))] == label.tolist() and len(set(label.tolist())) > 100
+
+
 def test_near_duplicate_corners(spark, tmp_path):
     assert near_duplicates.op8_near_duplicates(spark, write_tables(spark, tmp_path, documents=docs(spark, []))).count() == 0
     rows = near_duplicates.near_duplicates(docs(spark, ["a b c d e f", "a b c d e f", "a b c d e f", None], [4, 4, None, 9])).collect()
@@ -618,6 +685,20 @@ def test_items_without_an_id_hit(spark, tmp_path, monkeypatch, shard):
     assert [r.doc_id for r in decontaminate.clean(spark, docs(spark, texts), folder).collect()] == [3]
 
 
+@pytest.mark.parametrize("shard", [None, 20])
+def test_rows_that_share_an_id_or_have_none(spark, tmp_path, monkeypatch, shard):
+    if shard:
+        monkeypatch.setattr(decontaminate, "SHARD_BYTES", shard)
+    bench = spark.createDataFrame([(1, "first item text"), (2, "second item text"), (2, "third item text"), (None, "no id here")], "item_id long, text string")
+    texts = ["x first item text", "clean", "second item text third item text first item text", "clean", "no id here", "no id here", None]
+    ids = [7, 7, None, None, 7, 7, None]
+    folder = write_tables(spark, tmp_path, documents=docs(spark, texts, ids), benchmark=bench)
+    got = sorted((r.doc_id or 0, r.n_words, r.n_hit, r.n_items) for r in decontaminate.op9_decontaminate(spark, folder).collect())
+    assert got == sorted([(7, 4, 3, 1), (7, 1, 0, 0), (0, 9, 9, 2), (0, 1, 0, 0), (7, 3, 3, 0), (7, 3, 3, 0), (0, 0, 0, 0)])
+    left = decontaminate.clean(spark, docs(spark, texts, ids), folder).collect()
+    assert sorted((r.doc_id or 0, r.text or "") for r in left) == [(0, ""), (0, "clean"), (7, "clean")]
+
+
 def test_op9_empty_tables(spark, tmp_path):
     bench = spark.createDataFrame([], "item_id long, text string")
     folder = write_tables(spark, tmp_path, documents=docs(spark, ["a b c"]), benchmark=bench)
@@ -688,6 +769,17 @@ def test_pipeline(spark, corpus, tmp_path):
     assert all(r.decoded_sha256 == sha(texts[r.doc_id]) and len(r.tokens) == r.n_tokens for r in rows)
 
 
+def test_pipeline_with_boilerplate(spark, corpus, tmp_path):
+    """A line on 12 sites goes from every text, and what it held apart becomes a copy."""
+    corpus_pipeline = pytest.importorskip("corpus_pipeline")
+    own = [t for t in sentences(40, 40) if len(t.split()) > 8][:24]
+    texts = [f"Accept all cookies\n{t}\n\tAccept all cookies " if i % 2 else t for i, t in enumerate(own)] + [f"{own[0]}\nAccept all cookies"]
+    rows = spark.createDataFrame([(i, t, "en", f"s{i}", len(t)) for i, t in enumerate(texts)], "doc_id long, text string, lang string, source string, n_chars long")
+    folder = write_tables(spark, tmp_path, documents=rows, benchmark=spark.createDataFrame([], "item_id long, text string"))
+    got = {r.doc_id: r.decoded_sha256 for r in corpus_pipeline.run(spark, folder).collect()}
+    assert got == {i: sha(t) for i, t in enumerate(own)}
+
+
 def test_pipeline_on_empty_tables(spark, tmp_path):
     corpus_pipeline = pytest.importorskip("corpus_pipeline")
     folder = write_tables(spark, tmp_path, documents=docs(spark, []), benchmark=spark.createDataFrame([], "item_id long, text string"))
