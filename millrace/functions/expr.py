@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
@@ -68,20 +68,19 @@ def strict_long(text: Column) -> Column:
     return text.cast("bigint")
 
 
-def graceful_number(text: Column, kind: str, convert: str | None = None) -> tuple[Column, Column]:
-    """(value as double, whether it is a type error).  Blank text is null without error; nan and infinity, an unknown
-    converter and text that is no number are errors.  `int` rounds half to even, `float` to four digits."""
-    blank = text.isNull() | (py_strip(text) == "")
-    number = F.when(text.rlike(_FLOAT), F.replace(py_strip(text), F.lit("_"), F.lit("")).try_cast("double"))
-    if convert == "f_to_c":
-        number = (number - 32) * 5 / 9
-    elif convert == "bar_to_kpa":
-        number = number * 100
-    elif convert:
-        number = F.lit(None).cast("double")
-    number = F.when(F.abs(number) != F.lit(float("inf")), number)
-    value = F.rint(number) if kind == "int" else py_round(number, 4)
-    return F.when(~blank, value), ~blank & value.isNull()
+def with_graceful_number(rows: DataFrame) -> DataFrame:
+    """rows(raw, value_type, convert, ...) and value (double) and type_error.  Blank text is null without error; nan and
+    infinity, an unknown converter and text that is no number are errors.  `int` rounds half to even, `float` to four
+    digits; other types have no value.  Each step is a column of its own, so that a cell is parsed once."""
+    number, done = F.col("_number"), F.col("_converted")
+    kind, convert = F.col("value_type"), F.col("convert")
+    out = rows.withColumn("_text", py_strip(F.col("raw")))
+    out = out.withColumn("_number", F.when(F.col("raw").rlike(_FLOAT), F.replace("_text", F.lit("_"), F.lit("")).try_cast("double")))
+    out = out.withColumn("_converted", F.when(convert.isNull(), number).when(convert == "f_to_c", (number - 32) * 5 / 9).when(convert == "bar_to_kpa", number * 100))
+    out = out.withColumn("_converted", F.when(F.abs(done) != F.lit(float("inf")), done))
+    out = out.withColumn("value", F.when(kind == "int", F.rint(done)).when(kind == "float", py_round(done, 4)))
+    error = kind.isin("int", "float") & F.col("value").isNull() & (F.coalesce("_text", F.lit("")) != "")
+    return out.withColumn("type_error", error).drop("_text", "_number", "_converted")
 
 
 def sha256_text(text: Column) -> Column:

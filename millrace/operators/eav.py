@@ -8,30 +8,38 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from millrace.domain import STANDARD_ATTRIBUTES, SUMMED_ATTRIBUTES
-from millrace.functions.expr import graceful_number, py_round, py_strip, ratio
+from millrace.functions.expr import py_round, py_strip, ratio, with_graceful_number
 
 
-def to_eav(rows: DataFrame, mapping: dict, source_file_id: str = "") -> DataFrame:
-    """A row for each mapped attribute of each source row, of all dates, nulls kept.  `value` is numeric; a mapping of
-    type text fills value_text instead.  `raw` and `type_error` go to the quality checks."""
+def raw_cells(rows: DataFrame, mapping: dict, source_file_id: str = "") -> DataFrame:
+    """A row for each mapped attribute of each source row: its text, and type and converter of the mapping."""
     own = lambda c: F.col(f"`{c}`") if c in rows.columns else F.lit("")
-    cells = []
-    for column, spec in mapping["attributes"].items():
-        raw = own(column)
-        if spec["type"] in ("int", "float"):
-            value, error = graceful_number(raw, spec["type"], spec.get("convert"))
-            text = F.lit(None).cast("string")
-        else:
-            value, error, text = F.lit(None).cast("double"), F.lit(False), F.nullif(py_strip(raw), F.lit(""))
-        cells.append(F.struct(F.lit(spec["standard"]).alias("attribute"), value.alias("value"), text.alias("value_text"), F.lit(spec["type"]).alias("value_type"), raw.alias("raw"), error.alias("type_error")))
     blank = lambda c: F.coalesce(py_strip(own(c)), F.lit(""))
+    cells = [
+        F.struct(F.lit(spec["standard"]).alias("attribute"), own(column).alias("raw"), F.lit(spec["type"]).alias("value_type"), F.lit(spec.get("convert") or None).cast("string").alias("convert"))
+        for column, spec in mapping["attributes"].items()
+    ]
     wide = rows.select(blank(mapping["entity_field"]).alias("entity_id"), blank(mapping["business_date_field"]).alias("business_date"), F.explode(F.array(*cells)).alias("c"))
     return wide.select("entity_id", "business_date", "c.*", F.lit(mapping["source_id"]).alias("source_id"), F.lit(source_file_id).alias("source_file_id"))
 
 
+def parsed(cells: DataFrame) -> DataFrame:
+    """raw_cells() with `value`, or value_text for other types than int and float, and type_error."""
+    number = F.col("value_type").isin("int", "float")
+    text = F.when(~number, F.nullif(py_strip(F.col("raw")), F.lit(""))).alias("value_text")
+    return with_graceful_number(cells).select("entity_id", "business_date", "attribute", "value", text, "value_type", "raw", "type_error", "source_id", "source_file_id")
+
+
+def to_eav(rows: DataFrame, mapping: dict, source_file_id: str = "") -> DataFrame:
+    """A row for each mapped attribute of each source row, of all dates, nulls kept.  `raw` and `type_error` go to the
+    quality checks."""
+    return parsed(raw_cells(rows, mapping, source_file_id))
+
+
 def union_sources(sources: list[tuple[DataFrame, dict]], file_ids: list[str] | None = None) -> DataFrame:
+    """to_eav() of all sources; texts are parsed after the union, by one expression for all."""
     ids = file_ids or [""] * len(sources)
-    return reduce(DataFrame.unionByName, [to_eav(df, m, i) for (df, m), i in zip(sources, ids, strict=True)])
+    return parsed(reduce(DataFrame.unionByName, [raw_cells(df, m, i) for (df, m), i in zip(sources, ids, strict=True)]))
 
 
 def eav_gold(eav: DataFrame, business_date: str | None = None) -> DataFrame:

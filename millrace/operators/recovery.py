@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -14,9 +14,14 @@ def coverage(sealed: DataFrame, accepted: DataFrame) -> DataFrame:
 
 
 def missing_sequences(present: DataFrame, last: DataFrame) -> DataFrame:
-    """present(session, sequence_no), last(session, expected_last_sequence) -> the numbers of 1..last that are absent."""
-    wanted = last.select("session", F.explode(F.sequence(F.lit(1).cast("bigint"), F.col("expected_last_sequence").cast("bigint"))).alias("sequence_no"))
-    return wanted.join(present.select("session", "sequence_no"), ["session", "sequence_no"], "left_anti")
+    """present(session, sequence_no), last(session, expected_last_sequence) -> the numbers of 1..last that are absent.
+    Only gaps are unfolded: between a number and the one before it, with 0 and last + 1 as the ends."""
+    known = present.join(last, "session").filter(F.col("sequence_no").between(1, F.col("expected_last_sequence")))
+    ends = last.select("session", F.explode(F.array(F.lit(0).cast("bigint"), F.col("expected_last_sequence").cast("bigint") + 1)).alias("sequence_no"))
+    every = known.select("session", F.col("sequence_no").cast("bigint").alias("sequence_no")).unionByName(ends).distinct()
+    before = F.lag("sequence_no").over(Window.partitionBy("session").orderBy("sequence_no"))
+    gaps = every.withColumn("before", before).filter(F.col("sequence_no") > F.col("before") + 1)
+    return gaps.select("session", F.explode(F.sequence(F.col("before") + 1, F.col("sequence_no") - 1)).alias("sequence_no"))
 
 
 def set_mismatch(sealed: DataFrame, selected: DataFrame) -> DataFrame:

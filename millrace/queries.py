@@ -269,6 +269,19 @@ def accepted_on_date(spark, sf):
     return rows.join(day, F.col("event.business_date") == F.col("day")).select("offset", "event_id", F.col("day").alias("business_date"), F.col("event.units_produced").alias("units_produced"), "timestamp_ms")
 
 
+@query("""SELECT event_id AS "offset", CASE WHEN event_id % 7 = 0 THEN 'missing' WHEN event_id % 11 = 0 THEN 'key' WHEN event_id % 13 = 0 THEN 'timestamp_ms' END AS problem
+FROM events WHERE event_id % 7 = 0 OR event_id % 11 = 0 OR event_id % 13 = 0 UNION ALL SELECT -event_id - 1, 'undeclared' FROM events WHERE event_id % 7 = 0 AND event_id % 2 = 0""")
+def tampered_entries(spark, sf):
+    """Entries of a batch of which some were dropped, moved to another offset, or given another key or time."""
+    entries = _entries(spark, sf).withColumn("batch", F.lit("b"))
+    i = F.col("offset")
+    moved = entries.filter((i % 7 != 0) | (i % 2 == 0)).withColumn("offset", F.when(i % 7 == 0, -i - 1).otherwise(i))
+    other = F.col("offset") >= 0
+    changed = moved.withColumn("key", F.when(other & (i % 11 == 0), F.lit("other")).otherwise(F.col("key")))
+    changed = changed.withColumn("timestamp_ms", F.when(other & (i % 11 != 0) & (i % 13 == 0), F.lit(-1)).otherwise(F.col("timestamp_ms")))
+    return L.tampered(changed, L.manifest_of(entries)).select("offset", "problem")
+
+
 @query(f"""WITH {star.RECORDS_SQL}, accepted AS (SELECT event_id, off FROM landed WHERE status = 'accepted'),
 sealed AS (SELECT 's-' || (event_id % 50) AS session, event_id // 50 + 1 AS sequence_no, 'evt-' || event_id AS event_id FROM events)
 SELECT session, count(*) AS expected, count(off) AS covered, count(*) = count(off) AS recovery_complete FROM sealed LEFT JOIN accepted USING (event_id) GROUP BY 1""")

@@ -12,7 +12,7 @@ from collections.abc import Iterable
 from pathlib import Path
 from typing import Any
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType, StructField, StructType
 
@@ -32,12 +32,20 @@ def csv_header(path: str | Path) -> list[str]:
         return next(csv.reader(f), [])
 
 
+def _breaks_in_quotes(spark: SparkSession, path: str | Path) -> bool:
+    """Whether a line has an odd number of quotes, as both ends of a cell with a line break do."""
+    quotes = F.length("value") - F.length(F.replace("value", F.lit('"'), F.lit("")))
+    return not spark.read.text(str(path)).filter(quotes % 2 == 1).isEmpty()
+
+
 def read_csv(spark: SparkSession, path: str | Path, columns: list[str] | None = None, ordinal: bool = False) -> DataFrame:
     """All columns as text, empty cells as empty text, columns as the header has them.  With `ordinal`, the order of
-    the rows in the file as a column."""
+    the rows in the file as a column.  Quotes within quoted cells are doubled, a backslash is a character like others;
+    only a file with a line break within quotes is read as a whole by one task."""
     names = columns or csv_header(path)
     schema = StructType([StructField(n, StringType()) for n in names])
-    df = spark.read.option("header", True).option("enforceSchema", False).option("multiLine", False).schema(schema).csv(str(path))
+    read = spark.read.option("header", True).option("enforceSchema", False).option("quote", '"').option("escape", '"').option("multiLine", _breaks_in_quotes(spark, path))
+    df = read.schema(schema).csv(str(path))
     out = [empty_as_text(F.col(f"`{n}`")).alias(n) for n in names]
     if ordinal:
         out.append(F.struct(F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("row")).alias(ORDINAL))
@@ -68,11 +76,17 @@ def read_gold_csv(spark: SparkSession, path: str | Path) -> DataFrame:
 
 
 def read_json_lines(spark: SparkSession, path: str | Path, schema: str) -> tuple[DataFrame, DataFrame]:
-    """(parsed rows, lines that are no such object as file, line); blank lines are skipped."""
-    lines = spark.read.text(str(path)).select("value", F.col("_metadata.file_path").alias("file")).filter(F.trim("value") != "")
+    """(parsed rows, lines that are no such object as file, line, value); blank lines are skipped, but counted.  A line's
+    number comes from its place in its block and the lines of the blocks before, one row for each block."""
+    every = spark.read.text(str(path)).select("value", F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("at"))
+    blocks = every.groupBy("file", "block").agg(F.count("*").alias("n"), F.min("at").alias("first"))
+    before = F.coalesce(F.sum("n").over(Window.partitionBy("file").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    blocks = blocks.select("file", "block", (before - F.col("first") + 1).alias("shift"))
+    lines = every.filter(F.trim("value") != "")
     parsed = lines.withColumn("doc", F.from_json("value", schema, {"mode": "PERMISSIVE"}))
     good = F.coalesce(F.expr("schema_of_variant(try_parse_json(value))").startswith("OBJECT"), F.lit(False))
-    return parsed.filter(good).select("doc.*"), parsed.filter(~good).select("file", "value")
+    bad = parsed.filter(~good).join(blocks, ["file", "block"]).select("file", (F.col("at") + F.col("shift")).alias("line"), "value")
+    return parsed.filter(good).select("doc.*"), bad
 
 
 def read_json(path: str | Path) -> Any | None:

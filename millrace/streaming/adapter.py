@@ -50,12 +50,14 @@ def check_date(business_date: str) -> None:
 
 
 def accepted_events(landing: Landing) -> DataFrame:
-    """Accepted entries, each cross-checked: its event's id is the entry's, it has a fingerprint, no coordinate is in
-    two batches."""
+    """Accepted entries, each cross-checked: it is as its batch's manifest declares it, its event's id is the entry's, it
+    has a fingerprint, no coordinate is in two batches."""
     try:
         landing.verify()
     except LandingConsistencyError as x:
         raise LandingIntegrityError(str(x)) from x
+    if some := landing.tampered().limit(5).collect():
+        raise LandingIntegrityError("entries disagree with their manifest: " + "; ".join(f"{r['topic']}/{r['partition']}/{r['offset']} {r['problem']}" for r in some))
     rows = landing.accepted()
     if not rows.filter((F.col("event.event_id") != F.col("event_id")) | F.col("event").isNull() | (F.coalesce("fingerprint", F.lit("")) == "")).isEmpty():
         raise LandingIntegrityError("an accepted entry disagrees with its event, or has no fingerprint")

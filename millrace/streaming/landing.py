@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from millrace.functions.expr import record_fingerprint
-from millrace.streaming.contract import EVENT_SCHEMA, judged
+from millrace.streaming.contract import EVENT_SCHEMA, canonical, judged
 
 RECORD_SCHEMA = "topic string, partition int, offset bigint, key string, value binary, timestamp_ms bigint"
 ENTRY_SCHEMA = (
@@ -24,6 +24,8 @@ ENTRY_SCHEMA = (
     f"duplicate_of struct<topic:string,partition:int,offset:bigint>, validation_error string, event struct<{EVENT_SCHEMA.replace(' ', ':').replace(',:', ',')}>, raw_value string, batch string"
 )
 COORDINATE = ["topic", "partition", "offset"]
+#: Folder of a batch's manifest beside its entries; readers of the entries pass over names that begin with `_`.
+MANIFEST = "_manifest"
 _TOPIC = re.compile(r"[A-Za-z0-9._-]+")
 
 
@@ -57,13 +59,13 @@ def classified(records: DataFrame, accepted: DataFrame | None = None) -> DataFra
     (event_id, topic, partition, offset) has the id; later ones are kept as duplicates that point to it."""
     j = judged(fingerprinted(records)).withColumn("event_id", F.col("event.event_id"))
     here = F.struct(*COORDINATE)
-    valid = j.filter("error is null")
-    first = valid.groupBy("event_id").agg(F.min(here).alias("_first"))
-    if accepted is not None:
-        known = accepted.select("event_id", F.struct(*COORDINATE).alias("_known"))
-        first = first.join(known, "event_id", "left").select("event_id", F.coalesce("_known", "_first").alias("_first"))
-    j = j.join(first, "event_id", "left")
     bad = F.col("error").isNotNull()
+    of_event = lambda c: F.concat(F.lit("event "), c)
+    key = F.when(bad, F.concat_ws(" ", F.lit("record"), *COORDINATE)).otherwise(of_event(F.col("event_id")))  # refused records stay apart
+    j = j.withColumn("_key", key).withColumn("_first", F.min(here).over(Window.partitionBy("_key")))
+    if accepted is not None:
+        known = accepted.select(of_event(F.col("event_id")).alias("_key"), F.struct(*COORDINATE).alias("_known"))
+        j = j.join(known, "_key", "left").withColumn("_first", F.coalesce("_known", "_first"))
     own = F.col("_first") == here
     return j.select(
         *COORDINATE, "key", "timestamp_ms", "fingerprint",
@@ -76,6 +78,26 @@ def classified(records: DataFrame, accepted: DataFrame | None = None) -> DataFra
     )
 
 
+_DECLARED = ["key", "timestamp_ms", "fingerprint", "status", "event_id", "event_digest"]
+MANIFEST_SCHEMA = "batch string, topic string, partition int, offset bigint, key string, timestamp_ms bigint, fingerprint string, status string, event_id string, event_digest string"
+
+
+def manifest_of(entries: DataFrame) -> DataFrame:
+    """What a batch declares of each of its entries: coordinate, key, timestamp, fingerprint, status, event id and the
+    digest of the normalised event."""
+    return entries.withColumn("event_digest", F.sha2(F.to_json("event"), 256)).select("batch", *COORDINATE, *_DECLARED)
+
+
+def tampered(entries: DataFrame, manifest: DataFrame) -> DataFrame:
+    """batch, coordinate and problem of each entry that is not as its batch declares it: `missing`, `undeclared`, or the
+    names of the fields that differ.  One join on the coordinate, whatever was changed."""
+    here, there = (F.struct(*_DECLARED).alias(c) for c in ("here", "there"))
+    both = manifest_of(entries).select("batch", *COORDINATE, here).join(manifest.select("batch", *COORDINATE, there), ["batch", *COORDINATE], "full")
+    differ = F.array_compact(F.array(*[F.when(~F.col(f"here.{c}").eqNullSafe(F.col(f"there.{c}")), F.lit(c)) for c in _DECLARED]))
+    problem = F.when(F.col("here").isNull(), "missing").when(F.col("there").isNull(), "undeclared").when(F.size(differ) > 0, F.array_join(differ, ", "))
+    return both.select("batch", *COORDINATE, problem.alias("problem")).filter("problem is not null")
+
+
 def next_offsets(records: DataFrame) -> DataFrame:
     """Where to go on: one beyond the last delivered offset, gaps or not."""
     return records.groupBy("topic", "partition").agg((F.max("offset") + 1).alias("next_offset"))
@@ -100,9 +122,12 @@ def batch_scope(records: DataFrame) -> None:
         raise ValueError("the input repeats a coordinate")
 
 
+_ORDER = "offsets must increase strictly in poll order"
+
+
 def poll_order(offsets: list[int]) -> None:
     if any(b <= a for a, b in zip(offsets, offsets[1:])):
-        raise ValueError("offsets must increase strictly in poll order")
+        raise ValueError(_ORDER)
 
 
 class Landing:
@@ -119,6 +144,16 @@ class Landing:
             return self.spark.createDataFrame([], ENTRY_SCHEMA)
         return self.spark.read.schema(ENTRY_SCHEMA).option("basePath", f"{self.folder}/entries").parquet(f"{self.folder}/entries")
 
+    def manifests(self) -> DataFrame:
+        """What the batches declare of their entries."""
+        found = self._fs.globStatus(self._path(f"{self.folder}/entries/batch=*/{MANIFEST}"))
+        if not found:
+            return self.spark.createDataFrame([], MANIFEST_SCHEMA)
+        return self.spark.read.schema(MANIFEST_SCHEMA).parquet(*[x.getPath().toString() for x in found])
+
+    def tampered(self) -> DataFrame:
+        return tampered(self.entries(), self.manifests())
+
     def accepted(self) -> DataFrame:
         return self.entries().filter("status = 'accepted'")
 
@@ -131,6 +166,11 @@ class Landing:
             raise LandingConsistencyError("an event id was accepted at several coordinates")
 
     def land(self, records: DataFrame, crash: bool = False) -> LandingResult:
+        """Lands one batch.  A column `seq`, if there is one, is the order in which records were polled."""
+        if "seq" in records.columns:
+            if not lag_violations(records).isEmpty():
+                raise ValueError(_ORDER)
+            records = records.drop("seq")
         batch_scope(records)
         prints = fingerprinted(records)
         known = self.entries().select(*COORDINATE, F.col("fingerprint").alias("_known"))
@@ -163,6 +203,7 @@ class Landing:
         final = self._path(f"{self.folder}/entries/batch={batch}")
         if self._fs.exists(final):
             raise LandingConsistencyError(f"batch {batch} exists already")
+        manifest_of(written.withColumn("batch", F.lit(batch))).write.parquet(f"{staging}/{MANIFEST}")
         counts = {r["status"]: r["count"] for r in written.groupBy("status").count().collect()}
         self._fs.mkdirs(final.getParent())
         if not self._fs.rename(self._path(staging), final):
@@ -195,6 +236,22 @@ class Log:
             return self.spark.createDataFrame([], RECORD_SCHEMA)
         return self.spark.read.schema(RECORD_SCHEMA).parquet(self.path)
 
+    def create(self) -> dict[str, Any]:
+        """The topic's folder, if it isn't there; one that holds other than partition 0 is refused."""
+        p = self.spark._jvm.org.apache.hadoop.fs.Path(self.path)
+        p.getFileSystem(self.spark._jsc.hadoopConfiguration()).mkdirs(p)
+        if not self._rows().filter(F.col("partition") != 0).isEmpty():
+            raise ValueError(f"topic {self.topic} has more than one partition")
+        return {"topic": self.topic, "partition_count": 1}
+
+    def produce_events(self, events: list[dict[str, Any]], at_ms: int | None = None) -> list[dict[str, Any]]:
+        """Appends events under their machine's key, none if one breaks the contract; event ids with coordinates."""
+        rows = [(str(e.get("machine_id", "")).strip().lower(), canonical(e).encode()) for e in events]
+        sent = self.spark.createDataFrame([(bytearray(v),) for _, v in rows], "value binary")
+        if bad := judged(sent).filter("error is not null").select("error").first():
+            raise ValueError(bad["error"])
+        return [{"event_id": e["event_id"].strip(), "topic": self.topic, "partition": 0, "offset": o} for e, o in zip(events, self.produce(rows, at_ms), strict=True)]
+
     def produce(self, events: list[tuple[str | None, bytes]], at_ms: int | None = None) -> list[int]:
         """Appends (key, value) records in order; all or none.  Returns their offsets."""
         top = self._rows().agg(F.max("offset").alias("m")).first()["m"]
@@ -217,12 +274,6 @@ class Log:
         return self.spark.readStream.schema(RECORD_SCHEMA).option("maxFilesPerTrigger", 1).parquet(self.path)
 
 
-def windowed_counts(events: DataFrame, delay: str = "10 minutes", width: str = "5 minutes") -> DataFrame:
-    """Beyond the data model's own operators: units by plant and event-time window, with a watermark."""
-    timed = events.withColumn("_at", F.to_timestamp("event_time")).withWatermark("_at", delay)
-    return timed.groupBy(F.window("_at", width), "plant_id").agg(F.sum("units_produced").alias("units_produced"))
-
-
 def lag_violations(records: DataFrame) -> DataFrame:
     """Records whose offset doesn't exceed the one before in poll order (column `seq`)."""
     before = F.lag("offset").over(Window.partitionBy("topic", "partition").orderBy("seq"))
