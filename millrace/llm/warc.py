@@ -2,9 +2,10 @@
 
 An archive is a skippable frame (magic 0x184D2A5D) that holds a Zstandard dictionary, then one Zstandard frame for each
 record, compressed with it, so that every record can be read alone.  The dictionary is built from the archive's own
-first records: SAMPLE_BYTES of them at most (one record at least) are held back until it is made, then written like the
-others.  Fewer than SAMPLES records are cut into pieces to train on.  The dictionary is empty and the frames are plain
-only where the records held back are under LEAST_BYTES in all or too uniform to train on.  An archive is closed at ARCHIVE_BYTES of payload and the next begun.
+records: an archive is held until it has ARCHIVE_BYTES of payload or its task ends, and records evenly spread over it,
+SAMPLE_BYTES in all, are trained on.  Fewer than SAMPLES records are cut into pieces.  Where that is too little or too
+uniform to train on (under LEAST_BYTES, or one byte repeated) FILLER, fixed strings of no meaning, is added, so that
+every archive has a dictionary.
 
 Of the records with equal payloads (by SHA-1 and length) of at least `least` bytes that with the smallest page id is a
 `response`; the others are `revisit` records that name it and keep the HTTP header only.  Smaller payloads are all
@@ -38,8 +39,9 @@ from millrace.llm._shared import scratch, slices, table, written
 DICTIONARY_MAGIC, FRAME_MAGIC, RAW_DICTIONARY_MAGIC = 0x184D2A5D, 0xFD2FB528, 0xEC30A437
 REVISIT_PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 
-SAMPLE_BYTES, DICTIONARY_BYTES, ARCHIVE_BYTES, LEVEL = 4 << 20, 64 << 10, 64 << 20, 3
+SAMPLE_BYTES, DICTIONARY_BYTES, ARCHIVE_BYTES, LEVEL = 4 << 20, 64 << 10, 32 << 20, 3
 SAMPLES, LEAST_BYTES = 16, 8 << 10
+FILLER = [2 * hashlib.sha256(str(i).encode()).hexdigest().encode() for i in range(64)]
 DATE = "1970-01-01T00:00:00Z"
 LEAST = 0
 
@@ -91,73 +93,74 @@ def parse(raw: bytes) -> tuple[dict[str, str], dict[str, str], bytes]:
     return fields, dict(x.split(": ", 1) for x in http.decode().split("\r\n")[1:]), payload
 
 
-def _dictionary(samples: list[bytes]) -> zstandard.ZstdCompressionDict | None:
-    """None where too little is there to build one."""
+def _spread(records: list[bytes]) -> list[bytes]:
+    """Records from all over the archive, about SAMPLE_BYTES in all; of very long ones the beginnings."""
+    step = -(-sum(map(len, records)) // SAMPLE_BYTES) or 1
+    some = records[::step]
+    most = max(1, 2 * SAMPLE_BYTES // len(some))
+    return [x[:most] for x in some] if sum(map(len, some)) > 2 * SAMPLE_BYTES else some
+
+
+def _dictionary(samples: list[bytes]) -> zstandard.ZstdCompressionDict:
     total = sum(map(len, samples))
-    if total < LEAST_BYTES:
-        return None
     if len(samples) < SAMPLES:
-        size = min(16 << 10, total // (2 * SAMPLES))
+        size = max(64, min(16 << 10, total // (2 * SAMPLES)))
         samples = [x[i : i + size] for x in samples for i in range(0, len(x), size)]
+    made = lambda some: zstandard.train_dictionary(min(DICTIONARY_BYTES, max(1024, total // 16)), some, level=LEVEL, threads=0, k=256, d=8)
+    if total < LEAST_BYTES:
+        return made(samples + FILLER)
     try:
-        return zstandard.train_dictionary(min(DICTIONARY_BYTES, max(1024, total // 16)), samples, level=LEVEL, threads=0, k=256, d=8)
-    except zstandard.ZstdError:
-        return None
+        return made(samples)
+    except zstandard.ZstdError:  # too uniform
+        return made(samples + FILLER)
+
+
+def _place(uri: str) -> tuple[fs.FileSystem, str]:
+    """The file system of a URI as Spark writes it."""
+    return fs.FileSystem.from_uri(uri.replace("s3a://", "s3://", 1) if uri.startswith("s3a://") else uri)
 
 
 class Writer:
     """Writes records to the archives of one task; close() returns (path, records) of each."""
 
     def __init__(self, folder: str):
-        self.fs, self.folder = fs.FileSystem.from_uri(folder)
+        self.fs, self.folder = _place(folder)
         self.made: list[tuple[str, int]] = []
-        self.out, self.held, self.size, self.count = None, [], 0, 0
+        self.held: list[bytes] = []
+        self.size = 0
 
     def add(self, raw: bytes) -> None:
         self.size += len(raw)
-        self.count += 1
-        if self.out is None:
-            self.held.append(raw)
-            if self.size >= SAMPLE_BYTES:
-                self._open()
-        else:
-            self.out.write(self.packer.compress(raw))
+        self.held.append(raw)
         if self.size >= ARCHIVE_BYTES:
             self._finish()
 
-    def _open(self) -> None:
-        self.path = f"{self.folder}/{uuid.uuid4().hex}.warc.zst"
-        self.out = self.fs.open_output_stream(self.path + ".part", compression=None)
-        made = _dictionary(self.held)
-        raw = made.as_bytes() if made else b""
-        self.out.write(struct.pack("<II", DICTIONARY_MAGIC, len(raw)) + raw)
-        self.packer = zstandard.ZstdCompressor(level=LEVEL, dict_data=made, write_checksum=True) if made else zstandard.ZstdCompressor(level=LEVEL, write_checksum=True)
-        for x in self.held:
-            self.out.write(self.packer.compress(x))
-        self.held = []
-
     def _finish(self) -> None:
-        if self.out is None:
-            self._open()
-        self.out.close()
-        self.fs.move(self.path + ".part", self.path)
-        self.made.append((self.path, self.count))
-        self.out, self.held, self.size, self.count = None, [], 0, 0
+        path = f"{self.folder}/{uuid.uuid4().hex}.warc.zst"
+        made = _dictionary(_spread(self.held))
+        raw, packer = made.as_bytes(), zstandard.ZstdCompressor(level=LEVEL, dict_data=made, write_checksum=True)
+        with self.fs.open_output_stream(path + ".part", compression=None) as out:
+            out.write(struct.pack("<II", DICTIONARY_MAGIC, len(raw)) + raw)
+            for x in self.held:
+                out.write(packer.compress(x))
+        self.fs.move(path + ".part", path)
+        self.made.append((path, len(self.held)))
+        self.held, self.size = [], 0
 
     def close(self) -> list[tuple[str, int]]:
-        if self.count:
+        if self.held:
             self._finish()
         return self.made
 
 
 def read(folder: str, path: str) -> Iterator[bytes]:
     """The records of an archive, one frame at a time."""
-    with fs.FileSystem.from_uri(folder)[0].open_input_stream(path, compression=None) as f:
+    with _place(folder)[0].open_input_stream(path, compression=None) as f:
         magic, n = struct.unpack("<II", f.read(8))
         if magic != DICTIONARY_MAGIC:
             raise ValueError(f"{path}: no dictionary frame")
         raw = f.read(n)
-        unpacker = zstandard.ZstdDecompressor(dict_data=zstandard.ZstdCompressionDict(raw)) if raw else zstandard.ZstdDecompressor()
+        unpacker = zstandard.ZstdDecompressor(dict_data=zstandard.ZstdCompressionDict(raw))
         left = b""
         while True:
             frame, parts = unpacker.decompressobj(), []
@@ -183,7 +186,7 @@ def write_archives(pages: DataFrame, folder: str, least: int = LEAST) -> DataFra
     uri = folder
 
     def run(batches):
-        place, at = fs.FileSystem.from_uri(uri)
+        place, at = _place(uri)
         place.create_dir(at)
         writer = Writer(uri)
         for batch in slices(batches, "html", 8 << 20):
