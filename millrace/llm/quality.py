@@ -6,15 +6,15 @@ sigmoid loss l the risk is
     p * mean_P l(f, +1) + max(0, mean_U l(f, -1) - p * mean_P l(f, -1)),
 
 minimised in numpy by Adam over mini-batches; where the second term of a batch is negative, its gradient is turned
-around, as non-negative PU learning does.  The prior is the share of label 1 among the rows that may be learned from;
-if they hold no label 0, it is estimated after Elkan and Noto from a positive-against-unlabelled fit.
+around, as non-negative PU learning does.  The prior is estimated from a fit of positives against
+unlabelled (see _prior).  Rows of label 0 are not learned from, neither as negatives nor for the prior.
 
 f is additive over binned features of the whole text: shares of bytes by class (upper case, digits, symbols, bars,
 stops, blanks, other scripts), length, word length, repeated neighbours and distinct words.  Bins are quantiles of the
 training sample.  The sample is bounded: about POSITIVES and UNLABELLED documents, chosen by a hash of the id.
 
 Defined results: null text counts as empty, and empty text gets a score like any other; without any positive label
-every score is the prior (or 0.5); rows are taken one by one; other columns are not looked at."""
+every score is 0.5; rows are taken one by one; other columns are not looked at."""
 
 from __future__ import annotations
 
@@ -34,6 +34,8 @@ QUANTILES = [0.005, 0.01, 0.02, 0.03, 0.05, 0.07, 0.1, 0.2, 0.3, 0.4, 0.5, 0.6,
 BINS = len(QUANTILES)
 STEPS, BATCH, RATE, DECAY = 500, 2048, 0.05, 1e-4
 CUT = 0.3
+#: Chance that the bound of the prior's estimate doesn't hold.
+DOUBT = 0.1
 
 FEATURES = ["upper", "lower", "digits", "stops", "marks", "symbols", "bars", "blanks", "lines", "other", "length", "word_length", "repeats", "distinct", "run_of_upper"]
 _CLASSES = 10
@@ -127,16 +129,33 @@ def _fit(pos: np.ndarray, unl: np.ndarray, prior: float | None, width: int, seed
     return w, float(b)
 
 
-def train(positive: np.ndarray, unlabelled: np.ndarray, prior: float | None, seed: int = 11) -> Model:
+def _prior(pos: np.ndarray, unl: np.ndarray, width: int, seed: int) -> float:
+    """Best bin: of the documents whose chance of being a positive is above a cut, the share among the unlabelled over
+    that among the positives, at the cut where its upper confidence bound is least; there hardly any document above it
+    is no positive.  Each half is judged by a fit of the other, not by what was learned from it."""
+    of_pos, of_unl = [], []
+    for k in (0, 1):
+        if len(pos[k::2]) and len(unl[k::2]):
+            w, b = _fit(pos[k::2], unl[k::2], None, width, seed)
+            of_pos.append(w[pos[1 - k :: 2]].sum(axis=1) + b)
+            of_unl.append(w[unl[1 - k :: 2]].sum(axis=1) + b)
+    p, u = (np.sort(np.concatenate(x)) if x else np.zeros(0) for x in (of_pos, of_unl))
+    if not len(p) or not len(u):
+        return 0.5
+    above = lambda x: 1 - np.searchsorted(x, p, "left") / len(x)  # noqa: E731  at each positive as a cut
+    among_p, among_u = above(p), above(u)
+    doubt = sum(np.sqrt(np.log(4 / DOUBT) / (2 * n)) for n in (len(p), len(u)))
+    best = np.argmin((among_u + doubt) / among_p)
+    return float(np.clip(among_u[best] / among_p[best], 0.05, 0.95))
+
+
+def train(positive: np.ndarray, unlabelled: np.ndarray, prior: float | None = None, seed: int = 11) -> Model:
     every = np.concatenate([positive, unlabelled])
     edges = [np.unique(np.quantile(every[:, j], QUANTILES)) for j in range(every.shape[1])]
     pos, unl = _bins(positive, edges), _bins(unlabelled, edges)
     width = len(edges) * (BINS + 1)
     if prior is None:
-        w, b = _fit(pos, unl, None, width, seed)
-        chance = lambda c: _sigmoid(w[c].sum(axis=1) + b)
-        labelled = float(np.mean(chance(pos)))
-        prior = float(np.clip(np.mean(chance(unl)) / max(labelled, 1e-6), 0.05, 0.95))
+        prior = _prior(pos, unl, width, seed)
     w, b = _fit(pos, unl, prior, width, seed)
     return Model(edges, w, b, prior)
 
@@ -160,11 +179,11 @@ def _part(col, share: float):
 def learned(docs: DataFrame, labels: DataFrame) -> Model | None:
     """docs(id, text), labels(id, label): only what may be learned from.  None without a positive label."""
     labels = labels.filter("id is not null and label is not null")
-    n = labels.agg(F.count("*").alias("n"), F.count_if(F.col("label") == 1).alias("one")).first()
-    if not n["one"]:
+    n = labels.filter("label = 1").count()
+    if not n:
         return None
     total = docs.filter("id is not null").count()
-    positive = labels.filter("label = 1").filter(_part(F.col("id"), min(1.0, POSITIVES / n["one"]))).select("id").distinct()
+    positive = labels.filter("label = 1").filter(_part(F.col("id"), min(1.0, POSITIVES / n))).select("id").distinct()
     wanted = docs.filter(_part(F.col("id"), min(1.0, UNLABELLED / max(1, total)))).withColumn("kind", F.lit(0))
     trusted = docs.join(F.broadcast(positive), "id").withColumn("kind", F.lit(1))  # about POSITIVES ids
     rows = wanted.unionByName(trusted).select((2 * F.col("id") + F.col("kind")).alias("id"), "text")
@@ -172,7 +191,7 @@ def learned(docs: DataFrame, labels: DataFrame) -> Model | None:
     x = {k: np.array([v for i, v in sorted(got) if i % 2 == k]).reshape(-1, len(FEATURES)) for k in (0, 1)}
     if not len(x[0]) or not len(x[1]):
         return None
-    return train(x[1], x[0], n["one"] / n["n"] if n["one"] < n["n"] else None)
+    return train(x[1], x[0])
 
 
 def scored(docs: DataFrame, model: Model | None) -> DataFrame:

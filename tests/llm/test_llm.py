@@ -685,6 +685,22 @@ def test_items_without_an_id_hit(spark, tmp_path, monkeypatch, shard):
     assert [r.doc_id for r in decontaminate.clean(spark, docs(spark, texts), folder).collect()] == [3]
 
 
+@pytest.mark.parametrize("raws", [[b"x"], [b"a" * 100_000], [b"", b"y" * 5], [bytes([i]) * 9000 for i in range(20)]])
+def test_every_archive_has_a_dictionary(tmp_path, raws):
+    w = warc.Writer(f"file://{tmp_path}")
+    for r in raws:
+        w.add(r)
+    (path, n), = w.close()
+    assert n == len(raws) and list(warc.read(f"file://{tmp_path}", path)) == raws
+    assert struct.unpack("<I", Path(path).read_bytes()[8:12])[0] == warc.RAW_DICTIONARY_MAGIC
+
+
+def test_the_dictionary_is_of_the_whole_archive():
+    records = [bytes([i % 251]) * 1000 for i in range(30_000)]
+    some = warc._spread(records)
+    assert records.index(some[-1]) >= 0 and some == records[:: 30_000_000 // warc.SAMPLE_BYTES + 1]
+
+
 @pytest.mark.parametrize("shard", [None, 20])
 def test_rows_that_share_an_id_or_have_none(spark, tmp_path, monkeypatch, shard):
     if shard:
@@ -731,6 +747,24 @@ def test_quality_held_out(spark, tmp_path):
         assert r.held_out == (zlib.crc32(str(d).encode()) % 5 == 0) and 0 <= r.score <= 1 and r.predicted == int(r.score >= 0.3)
 
 
+def test_the_prior_is_estimated_from_positives_and_unlabelled():
+    rng = np.random.default_rng(3)
+    for share in (0.3, 0.6, 0.85):
+        n = int(2000 * share)
+        unl = np.concatenate([rng.normal(0, 1, (n, 3)), rng.normal(5, 1, (2000 - n, 3))])
+        assert abs(quality.train(rng.normal(0, 1, (1500, 3)), unl).prior - share) < 0.08
+
+
+def test_labels_of_zero_are_not_learned_from(spark, tmp_path):
+    texts = [t.capitalize() + "." if i % 4 else " | ".join(t.split()) for i, t in enumerate(sentences(31, 300))]
+    scores = []
+    for k, zeros in enumerate(([], [(i, 0, 0) for i in range(0, 300, 4)])):
+        labels = spark.createDataFrame([(i, 1, 0) for i in range(1, 300, 4)] + zeros, "doc_id long, quality int, toxic int")
+        folder = write_tables(spark, tmp_path / str(k), documents=docs(spark, texts), labels=labels)
+        scores.append({r.doc_id: r.score for r in quality.op10_quality(spark, folder).collect()})
+    assert scores[0] == scores[1]
+
+
 def test_quality_corners(spark, tmp_path):
     empty = spark.createDataFrame([], "doc_id long, quality int, toxic int")
     folder = write_tables(spark, tmp_path, documents=docs(spark, ["a", None]), labels=empty)
