@@ -10,7 +10,9 @@ starts in a document with a smaller id; windows are judged on the input.
 2. Documents with equal word sequences are one class.  All but the smallest id lose every word (if they have a window
    at all) and need not be looked at again; the smallest stands for the class.
 3. Anchors that occur in one document only go.  The windows of twice the length that contain a remaining anchor are the
-   candidates of the next level, and so on.  At `width` each candidate's smallest document decides.
+   candidates of the next level; those in one document only go, and so on, until no candidates survive.  At `width` each
+   candidate's smallest document decides.  Every window of `width` words contains, level by level, a window of the level
+   below that contains its anchor, and all of these are repeated where it is.
 
 Groups are counted by partial aggregation and joined back as plain equi-joins, which Spark splits when skewed.  A
 window is known by 96 bits of hash.
@@ -32,6 +34,8 @@ from millrace.llm import _words
 from millrace.llm._shared import slices, table, written
 
 WIDTH = 50
+#: The first level's windows have this many words at most, and more than half of it.
+SEED = 16
 _SALT = 0x5851F42D4C957F2D
 #: Rows of windows, and bytes of text, that are unfolded at a time.
 _ROWS, _SLICE = 1 << 13, 1 << 19
@@ -39,8 +43,11 @@ _BLANKS = bytes(32 if 9 <= c <= 13 else c for c in range(256))
 
 
 def lengths(width: int) -> list[int]:
-    """The levels: half the width (rounded up), then the width."""
-    return [(width + 1) // 2, width]
+    """The levels: the width and its halves (rounded up) down to SEED at most, in rising order."""
+    out = [width, (width + 1) // 2]
+    while out[-1] > SEED:
+        out.append((out[-1] + 1) // 2)
+    return out[::-1]
 
 
 def _anchors(w: _words.Words, seed: int, width: int) -> tuple[np.ndarray, np.ndarray]:
@@ -153,7 +160,7 @@ def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         groups = windows.groupBy("h", "g").agg(F.min("id").alias("low"), F.max("id").alias("high")).filter("low < high")
         groups = written(groups.select("h", "g", "low"), "repeated")
         windows = windows.join(groups, ["h", "g"])
-        if not more:
+        if not more or groups.isEmpty():
             break
         texts = written(rows.join(_collected(windows), ["id", "th"]) if texts is rows else texts.drop("found").join(_collected(windows), ["id", "th"]), "candidates")
         found = written(_longer(texts, level, more), "windows")
