@@ -246,35 +246,35 @@ def _classes(docs: DataFrame, shingle: int, percent: int) -> tuple[DataFrame, Da
     if members.isEmpty():
         return sk, reps, labels
     texts = written(texts.join(members.select("id").distinct(), "id", "left_semi"), "texts")
-    fine = sketches(texts, shingle, FINE_ROWS, FINE_BANDS).select("id", F.explode("bands").alias("bucket")).distinct()
-    fine = written(_labelled(fine, labels).join(facts, "id"), "fine")
-    members = written(_open(fine, percent), "open")
-    star = members.join(_best(members), "bucket").filter("label != pivot_label").select(F.col("pivot").alias("a"), F.col("id").alias("b")).distinct()
+    own = _labelled(facts, labels).join(sketches(texts, shingle, FINE_ROWS, FINE_BANDS).select("id", "bands"), "id")
+    fine = written(own.select("id", "label", "n", "u", F.explode("bands").alias("bucket")).distinct(), "fine")
+    near = written(_pivots(fine), "pivots")
+    star = near.filter("label != p.label").select(F.col("p.id").alias("a"), F.col("id").alias("b"))
     labels = _joined(labels, written(_linked(star, texts, shingle, percent), "links"))
-    members = written(_open(_labelled(members.drop("label"), labels), percent), "open")
-    if members.isEmpty():
+    cells = written(_labelled(_labelled(_cells(near), labels), labels, "pivot", "pivot_label"), "cells")
+    if cells.filter("label != pivot_label").isEmpty():
         return sk, reps, labels
-    return sk, reps, _joined(labels, written(_rest(members, texts, shingle, percent), "links"))
-
-
-def _best(members: DataFrame) -> DataFrame:
-    """bucket, pivot, pivot_label: the member that shares most of its set, the likely origin of a group."""
-    best = members.groupBy("bucket").agg(F.min(_rank("id", "label", "u", "n")).alias("p"))
-    return best.select("bucket", F.col("p.id").alias("pivot"), F.col("p.label").alias("pivot_label"))
+    return sk, reps, _joined(labels, written(_rest(cells, texts, shingle, percent), "links"))
 
 
 def _rank(id_col: str, label_col: str, u: str, n: str):
     return F.struct((-F.col(u) / F.col(n)).alias("alone"), F.col(id_col).alias("id"), F.col(label_col).alias("label"))
 
 
-def _cells(members: DataFrame) -> DataFrame:
-    """(pivot, pivot_label, id, label): each member under the pivot of its bucket.  A pivot need not be a member: where
-    the best member of a bucket is in other buckets too, the best of all their pivots stands for it, so that the many
-    buckets of one neighbourhood share a pivot and a member is seldom under more than a few."""
-    best = written(members.groupBy("bucket").agg(F.min(_rank("id", "label", "u", "n")).alias("p")), "pivots")
-    over = members.join(best, "bucket").groupBy("id").agg(F.min("p").alias("q"))
-    moved = best.select("bucket", F.col("p.id").alias("id")).join(over, "id").select("bucket", F.col("q.id").alias("pivot"), F.col("q.label").alias("pivot_label"))
-    return members.join(moved, "bucket").filter("id != pivot").select("pivot", "pivot_label", "id", "label").distinct()
+def _pivots(members: DataFrame) -> DataFrame:
+    """members(bucket, id, label, n, u) -> (p, id, label): each member beside the pivot p of its bucket, the member that
+    shares most of its set, the likely origin of a group; of buckets with several labels."""
+    buckets = members.groupBy("bucket").agg(F.min("label").alias("one"), F.max("label").alias("other"), F.min(_rank("id", "label", "u", "n")).alias("p")).filter("one < other")
+    return members.join(buckets.select("bucket", "p"), "bucket").select("p", "id", "label").distinct()
+
+
+def _cells(near: DataFrame) -> DataFrame:
+    """_pivots() -> (pivot, id).  A pivot need not be a member of the bucket: where it is in other buckets too, the best of
+    all their pivots stands for it, so that the many buckets of one neighbourhood share a pivot and a member is seldom
+    under more than a few."""
+    over = near.groupBy(F.col("id").alias("of")).agg(F.min("p").alias("q"))
+    moved = near.join(over, F.col("p.id") == F.col("of")).select(F.col("q.id").alias("pivot"), "id")
+    return moved.filter("id != pivot").distinct()
 
 
 def _differences(pairs: DataFrame, texts: DataFrame, shingle: int) -> DataFrame:
@@ -301,8 +301,9 @@ def _differences(pairs: DataFrame, texts: DataFrame, shingle: int) -> DataFrame:
     return pairs.join(b, "b").join(a, "a").select("a", "b", "text_a", "text_b").mapInArrow(run, "a long, b long, na long, n long, delta array<long>")
 
 
-def _rest(members: DataFrame, texts: DataFrame, shingle: int, percent: int) -> DataFrame:
-    """The links between different labels within a bucket, without comparing all with all.
+def _rest(cells: DataFrame, texts: DataFrame, shingle: int, percent: int) -> DataFrame:
+    """The links between different labels of cells(pivot, pivot_label, id, label) under one pivot, without comparing all
+    with all.
 
     Let p be a pivot, delta(x) the shingles that either x or p has, d(x) their number and n(x) the size of x's set.  Two
     members differ in d(x) + d(y) - 2 c shingles, where c = |delta(x) & delta(y)|.  So, with f = (100 + percent) d -
@@ -316,7 +317,6 @@ def _rest(members: DataFrame, texts: DataFrame, shingle: int, percent: int) -> D
     meets at the rarest.  Shingles that the same members have are one entry with a weight, so that an edit of many
     shingles counts once."""
     p = percent
-    cells = written(_cells(members), "cells")
     seen = written(_differences(cells.select(F.col("pivot").alias("a"), F.col("id").alias("b")).distinct(), texts, shingle), "differences")
     d = F.size("delta").cast("long")
     direct = seen.filter((100 + p) * d <= (100 - p) * (F.col("na") + F.col("n"))).select("a", "b")
