@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import ctypes
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -59,6 +60,14 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def _give_back() -> None:
+    """An idle Python worker lives on for a while: memory that it has freed goes back to the machine."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim:
+        trim(0)
+
+
 def slices(batches: Iterator[pa.RecordBatch], column: str = "text", limit: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
     """Cut Arrow batches so that no slice holds more than `limit` bytes of text, unless one text alone does."""
     for batch in batches:
@@ -72,6 +81,7 @@ def slices(batches: Iterator[pa.RecordBatch], column: str = "text", limit: int =
                 start, total = i, 0
             total += int(n)
         yield batch.slice(start)
+    _give_back()
 
 
 def fresh(df: DataFrame, *names: str):

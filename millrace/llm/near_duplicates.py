@@ -46,6 +46,8 @@ _LOW = np.uint64(0xFFFFFFFF)
 #: Elements that run their later rounds together at most, and bytes of signatures that a task holds at a time.
 _BLOCK = 1 << 17
 _SIGNATURE_BYTES = 64 << 20
+#: Bytes of text that are shingled at a time; shingles take many times the room of their text.
+_SLICE = 512 << 10
 
 
 def shingles(texts: pa.Array, k: int) -> tuple[np.ndarray, np.ndarray]:
@@ -148,7 +150,7 @@ def sketches(docs: DataFrame, shingle: int, rows: int = ROWS, bands: int = BANDS
     most = max(1, _SIGNATURE_BYTES // (8 * rows * bands))
 
     def run(batches):
-        for batch in slices(batches):
+        for batch in slices(batches, limit=_SLICE):
             for i in range(0, batch.num_rows, most):
                 yield _sketch(batch.slice(i, most), shingle, rows, bands)
 
@@ -159,7 +161,7 @@ def _linked(pairs: DataFrame, texts: DataFrame, shingle: int, percent: int) -> D
     """Of pairs(a, b) those that are linked, by full sets.  A hot `a` is split as any skewed join."""
 
     def run(batches):
-        for batch in slices(slices(batches, "text_a"), "text_b"):
+        for batch in slices(slices(batches, "text_a", _SLICE), "text_b", _SLICE):
             n = batch.num_rows
             ra, va = shingles(batch.column("text_a"), shingle)
             rb, vb = shingles(batch.column("text_b"), shingle)
@@ -179,7 +181,7 @@ def _facts(texts: DataFrame, shingle: int) -> DataFrame:
     """texts(id, text) -> id, n (size of the set), u (how many of its shingles another of these texts has)."""
 
     def run(batches):
-        for batch in slices(batches):
+        for batch in slices(batches, limit=_SLICE):
             row, value = shingles(batch.column("text"), shingle)
             at = np.concatenate([[0], np.cumsum(np.bincount(row, minlength=batch.num_rows))])
             yield pa.RecordBatch.from_arrays([batch.column("id"), pa.ListArray.from_arrays(pa.array(at, pa.int32()), pa.array(value.view(np.int64)))], names=["id", "h"])
@@ -281,7 +283,7 @@ def _differences(pairs: DataFrame, texts: DataFrame, shingle: int) -> DataFrame:
     """pairs(a, b) -> a, b, na and n (sizes of their sets), delta (hashes of the shingles that one of both has)."""
 
     def run(batches):
-        for batch in slices(slices(batches, "text_a"), "text_b"):
+        for batch in slices(slices(batches, "text_a", _SLICE), "text_b", _SLICE):
             size = batch.num_rows
             ra, va = shingles(batch.column("text_a"), shingle)
             rb, vb = shingles(batch.column("text_b"), shingle)
